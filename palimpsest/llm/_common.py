@@ -114,8 +114,14 @@ LETTER_BYTES = byte_table(b for b in range(128) if not chr(b).isalnum())
 
 def word_hashes(texts: list[bytes], kinds: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the number of words of each text."""
+    h, counts, _ = word_and_head_hashes(texts, kinds, 0)
+    return h, counts
+
+
+def word_and_head_hashes(texts: list[bytes], kinds: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and hashes of the words' first bytes; a word that isn't longer than these has its own hash."""
     if not texts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
     end = bytes([int(np.flatnonzero(kinds == 0)[0])])
     a = kinds[np.frombuffer(end.join(texts) + end, np.uint8)]
     edge = np.diff((a != 0).view(np.int8), prepend=np.int8(0))
@@ -123,9 +129,12 @@ def word_hashes(texts: list[bytes], kinds: np.ndarray = WORD_BYTES) -> tuple[np.
     power, inverse = _powers(len(a))
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(a * power[: len(a)], out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    upto = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
-    return h, np.diff(upto, prepend=0)
+
+    def upto(ends: np.ndarray) -> np.ndarray:
+        return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+    counts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
+    return upto(ends), np.diff(counts, prepend=0), upto(np.minimum(ends, starts + head)) if head else np.empty(0, np.uint64)
 
 
 def word_hash(word: bytes, kinds: np.ndarray = WORD_BYTES) -> int:

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.byte_bpe import op10_byte_bpe
+from palimpsest.llm.langid import op7_langid
 from palimpsest.llm.mixing import OP8_SQL, op8_mix_sources
 from palimpsest.llm.simhash import op2_simhash
+from palimpsest.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op8_mix_sources, op10_byte_bpe)
+    found = (op2_simhash, op3_toxicity, op7_langid, op8_mix_sources, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
