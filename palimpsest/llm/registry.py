@@ -11,12 +11,14 @@ from palimpsest.llm.langid import op7_langid
 from palimpsest.llm.mixing import OP8_SQL, op8_mix_sources
 from palimpsest.llm.simhash import op2_simhash
 from palimpsest.llm.toxicity import op3_toxicity
+from palimpsest.llm.url_reputation import OP4_SQL, op4_url_filter
+from palimpsest.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op3_toxicity, op7_langid, op8_mix_sources, op10_byte_bpe)
+    found = (op2_simhash, op3_toxicity, op4_url_filter, op7_langid, op8_mix_sources, op9_warc, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL}
+    return {"op4_url_filter": OP4_SQL, "op8_mix_sources": OP8_SQL, "op9_warc": OP9_SQL}
