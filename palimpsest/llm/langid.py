@@ -275,6 +275,19 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, model: Identifier) -> DataFrame:
+    """The documents, all their columns, that one of the languages accepts."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            rejected = [m.predict(part)[2] for part in _chunks([x or "" for x in batch.column(at).to_pylist()])]
+            yield batch.filter(pa.array(~np.concatenate([np.empty(0, bool), *rejected])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))

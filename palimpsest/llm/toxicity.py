@@ -114,29 +114,50 @@ def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES) -> tuple[np.n
     return got["at"].to_numpy(), got["w"].to_numpy()
 
 
+def _scorer(model: tuple[np.ndarray, np.ndarray], bits: int):
+    at, w = model
+    weight = np.zeros((1 << bits) + 1, np.float32)
+    weight[at] = w
+    bias = float(weight[-1])
+
+    def scores(texts: list[bytes]) -> np.ndarray:
+        out = [np.empty(0)]
+        for a, b in slices(texts):
+            doc, f = features(texts[a:b], bits)
+            hit = weight[f] != 0
+            both = np.unique(doc[hit] << bits | f[hit])
+            total = np.bincount(both >> bits, weight[both & ((1 << bits) - 1)], b - a) + bias
+            out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+        return np.concatenate(out)
+
+    return scores
+
+
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
     """(doc_id, score) of every document."""
     source = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = shared.value
-        weight = np.zeros((1 << bits) + 1, np.float32)
-        weight[at] = w
-        bias = float(weight[-1])
+        scores = _scorer(shared.value, bits)
         for batch in batches:
-            texts, out = utf8(batch.column(1)), []
-            for a, b in slices(texts):
-                doc, f = features(texts[a:b], bits)
-                hit = weight[f] != 0
-                both = np.unique(doc[hit] << bits | f[hit])
-                total = np.bincount(both >> bits, weight[both & ((1 << bits) - 1)], b - a) + bias
-                out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(utf8(batch.column(1))))], names=["doc_id", "score"])
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+    """The documents, all their columns, whose score is below the threshold."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(shared.value, bits)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(utf8(batch.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, score): trains on labelled rows outside the held-out fold and scores all documents."""
     return score_documents(docs, train(training_rows(docs, labels, most)))
