@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.ann import op6_nearest
 from palimpsest.llm.byte_bpe import op10_byte_bpe
 from palimpsest.llm.langid import op7_langid
 from palimpsest.llm.mixing import OP8_SQL, op8_mix_sources
@@ -18,7 +19,7 @@ from palimpsest.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_spotsigs, op2_simhash, op3_toxicity, op4_url_filter, op5_ngram_lm, op7_langid, op8_mix_sources, op9_warc, op10_byte_bpe)
+    found = (op1_spotsigs, op2_simhash, op3_toxicity, op4_url_filter, op5_ngram_lm, op6_nearest, op7_langid, op8_mix_sources, op9_warc, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
