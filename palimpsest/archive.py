@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import EVERYTHING, LOG_SCHEMA, TRIPLE, TRIPLE_SCHEMA, ArchiveError, TriplePattern
@@ -126,6 +126,14 @@ class Archive:
         up, down = (F.sum((F.col("op") == k).cast("long")).alias(n) for k, n in ((1, "additions"), (-1, "deletions")))
         return self.log.groupBy("version").agg(up, down)
 
+    def describe(self) -> DataFrame:
+        """(version, additions, deletions, triples, is_snapshot) of every version."""
+        every = self.spark.range(self.lowest, self.highest + 1).select(F.col("id").cast("int").alias("version"))
+        rows = every.join(self.sizes(), "version", "left").fillna(0, ["additions", "deletions"])
+        first = self.count_vm(self.lowest).first()["count"]
+        triples = F.lit(first) + F.sum(F.col("additions") - F.col("deletions")).over(Window.orderBy("version"))  # a row per version
+        return rows.select("version", "additions", "deletions", triples.alias("triples"), F.col("version").isin(*self.snapshots).alias("is_snapshot"))
+
     def rebase(self, snapshot: int, keep: bool = False) -> Archive:
         """The same versions upon a snapshot at another version; the log stays as it is. keep: beside the others."""
         if not self.lowest <= snapshot <= self.highest:

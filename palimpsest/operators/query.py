@@ -49,13 +49,14 @@ def step_type() -> str:
 
 
 def page(result: DataFrame, offset: int = 0, limit: int | None = None, order: str = "total") -> DataFrame:
-    """Rows from an offset on, in the total order of triples, or with ``archive`` what the snapshot has before additions.
+    """Rows from an offset on, in the total order of triples; with ``reverse`` in the opposite one, with ``archive`` what the
+    snapshot has before additions.
 
     A limit and an offset over a sort make one top-k plan; without either nothing is sorted.
     """
     if not offset and limit is None:
         return result.drop("section")
-    keys = ["section", *TRIPLE] if order == "archive" else TRIPLE
+    keys = {"total": TRIPLE, "archive": ["section", *TRIPLE], "reverse": [F.desc(c) for c in TRIPLE]}[order]
     result = result.orderBy(*keys)
     if offset:
         result = result.offset(offset)

@@ -2,7 +2,8 @@
 
     snapshot/version=S/    triples, sorted by s, p, o
     log/version=V/         steps of a version, sorted by s, p, o
-    manifest/g=N/          lowest, highest and snapshots; the largest N holds
+    compact/upto=V-N/      steps of all versions up to V, sorted by s, p, o, version: few files instead of one set per version
+    manifest/g=N/          lowest, highest, snapshots and the compacted steps; the largest N holds
 
 A change writes data first and then a manifest of the next number, so a reader sees the archive before or after it. Each
 version's steps are overwritten as a whole: a repeated write has no further effect.
@@ -10,6 +11,8 @@ version's steps are overwritten as a whole: a repeated write has no further effe
 
 from __future__ import annotations
 
+from dataclasses import astuple, dataclass, replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,16 @@ from palimpsest.archive import Archive
 from palimpsest.model import LOG_SCHEMA, TRIPLE, TRIPLE_SCHEMA, ArchiveError
 from palimpsest.operators import changes
 
-MANIFEST = "lowest int, highest int, snapshots array<int>"
+MANIFEST = "lowest int, highest int, snapshots array<int>, upto int, compact string"
+
+
+@dataclass(frozen=True)
+class Manifest:
+    lowest: int
+    highest: int
+    snapshots: list[int]
+    upto: int | None = None
+    compact: str | None = None
 
 
 class Store:
@@ -36,15 +48,15 @@ class Store:
     def exists(self) -> bool:
         return self._generation() >= 0
 
-    def _commit(self, lowest: int, highest: int, snapshots: list[int]) -> None:
-        row = self.spark.createDataFrame([(lowest, highest, sorted(snapshots))], MANIFEST)
+    def _commit(self, manifest: Manifest) -> None:
+        row = self.spark.createDataFrame([astuple(replace(manifest, snapshots=sorted(manifest.snapshots)))], MANIFEST)
         row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/g={self._generation() + 1}")
 
-    def _manifest(self) -> tuple[int, int, list[int]]:
+    def _manifest(self) -> Manifest:
         if (g := self._generation()) < 0:
             raise ArchiveError(f"{self.path} holds no archive")
         x = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest/g={g}").first()
-        return x.lowest, x.highest, list(x.snapshots)
+        return Manifest(x.lowest, x.highest, list(x.snapshots), x.upto, x.compact)
 
     def _write_snapshot(self, version: int, triples: DataFrame) -> None:
         rows = triples.select(*TRIPLE).distinct().repartitionByRange(*TRIPLE).sortWithinPartitions(*TRIPLE)
@@ -61,17 +73,39 @@ class Store:
         for v, df in archive.snapshots.items():
             self._write_snapshot(v, df)
         self._write_log(archive.log)
-        self._commit(archive.lowest, archive.highest, list(archive.snapshots))
+        self._commit(Manifest(archive.lowest, archive.highest, list(archive.snapshots)))
         return self
 
     def open(self) -> Archive:
         """The archive as lazy reads; versions of the log are partitions, which a query's range prunes."""
-        lowest, highest, snapshots = self._manifest()
-        frames = {v: self.spark.read.schema(TRIPLE_SCHEMA).parquet(f"{self.path}/snapshot/version={v}") for v in snapshots}
+        m = self._manifest()
+        frames = {v: self.spark.read.schema(TRIPLE_SCHEMA).parquet(f"{self.path}/snapshot/version={v}") for v in m.snapshots}
         store, path = self._file("log")
         has = store.exists(path) and any(x.getPath().getName().startswith("version=") for x in store.listStatus(path))
         log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log") if has else self.spark.createDataFrame([], LOG_SCHEMA)
-        return Archive(frames, log.filter((F.col("version") > lowest) & (F.col("version") <= highest)), lowest, highest)
+        log = log.filter((F.col("version") > (m.lowest if m.upto is None else m.upto)) & (F.col("version") <= m.highest))
+        if m.compact:
+            log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/compact/{m.compact}").unionByName(log)
+        return Archive(frames, log, m.lowest, m.highest)
+
+    def compact(self, upto: int | None = None) -> None:
+        """Merges the steps up to a version, the last by default, into few files sorted by triple.
+
+        A lookup of a subject then reads the row groups that may hold it, and an archive of very many versions few files.
+        """
+        m = self._manifest()
+        upto = m.highest if upto is None else min(upto, m.highest)
+        name = f"upto={upto}-{self._generation() + 1}"
+        rows = self.open().log.filter(F.col("version") <= upto).select(*LOG_SCHEMA.fieldNames())
+        rows.repartitionByRange(*TRIPLE).sortWithinPartitions(*TRIPLE, "version").write.mode("overwrite").parquet(f"{self.path}/compact/{name}")
+        rest = m.upto if m.upto is not None and m.upto > upto else None
+        if rest is not None:  # what was compacted beyond goes back to its versions
+            self._write_log(self.open().log.filter((F.col("version") > upto) & (F.col("version") <= rest)))
+        self._commit(replace(m, upto=upto, compact=name))
+        for v in range(m.lowest + 1, upto + 1):
+            self._delete(f"log/version={v}")
+        if m.compact:
+            self._delete(f"compact/{m.compact}")
 
     def append(self, version: int, raw: DataFrame, strict: bool = False) -> None:
         """Adds a version after the last. Data of a version that was purged or whose append broke off are overwritten."""
@@ -80,7 +114,7 @@ class Store:
         for v in range(archive.highest + 1, version + 1):
             self._delete(f"log/version={v}")
         self._write_log(new.log.filter(F.col("version") == version))
-        self._commit(archive.lowest, version, list(archive.snapshots))
+        self._commit(replace(self._manifest(), highest=version))
 
     def append_all(self, raw: DataFrame, check: bool = True) -> None:
         """Adds all versions of raw changes (version, s, p, o, op) that come after the last, in one job."""
@@ -92,27 +126,29 @@ class Store:
         for v in range(archive.highest + 1, last + 1):
             self._delete(f"log/version={v}")
         self._write_log(changes.normalise(raw, base, check))
-        self._commit(archive.lowest, last, list(archive.snapshots))
+        self._commit(replace(self._manifest(), highest=last))
 
     def snapshot(self, version: int, keep: bool = True) -> None:
         """Materialises a version as a snapshot, beside the others or instead of them."""
-        lowest, highest, snapshots = self._manifest()
-        if version not in snapshots:
+        m = self._manifest()
+        if version not in m.snapshots:
             self._write_snapshot(version, self.open().rebase(version).snapshots[version])
-        self._commit(lowest, highest, [*snapshots, version] if keep and version not in snapshots else snapshots if keep else [version])
-        for v in [] if keep else [s for s in snapshots if s != version]:
+        self._commit(replace(m, snapshots=list({*m.snapshots, version}) if keep else [version]))
+        for v in [] if keep else [s for s in m.snapshots if s != version]:
             self._delete(f"snapshot/version={v}")
 
     def rebase(self, version: int) -> None:
         self.snapshot(version, keep=False)
 
     def purge(self, version: int) -> None:
-        lowest, highest, snapshots = self._manifest()
         archive = self.open().purge(version)
-        for v in set(archive.snapshots) - set(snapshots):
+        if (upto := self._manifest().upto) is not None and upto >= version:
+            self.compact(version - 1)
+        m = self._manifest()
+        for v in set(archive.snapshots) - set(m.snapshots):
             self._write_snapshot(v, archive.snapshots[v])
-        self._commit(lowest, version - 1, list(archive.snapshots))
-        for v in range(version, highest + 1):
+        self._commit(replace(m, highest=version - 1, snapshots=list(archive.snapshots)))
+        for v in range(version, m.highest + 1):
             self._delete(f"log/version={v}")
             self._delete(f"snapshot/version={v}")
 

@@ -85,6 +85,23 @@ def test_store(spark, folder, tmp_path):
     assert "PartitionFilters: [isnotnull(version" in plan
 
 
+def test_compaction(spark, folder, tmp_path):
+    store = Store(spark, f"{tmp_path}/store").create(Archive.from_folder(spark, folder, 3))
+    check = lambda n=7: [state(store.open(), v) for v in range(n)] == [s for _, _, s in STEPS][:n]
+    for upto in (4, None, 2):
+        store.compact(upto)
+        assert check() and sorted(map(tuple, store.open().log.collect())) == sorted(map(tuple, Archive.from_folder(spark, folder).log.collect()))
+    store.compact()
+    store.purge(5)
+    assert check(5) and store.open().highest == 4
+    store.append(5, spark.createDataFrame([("2", "2", "2", 1), ("5", "5", "5", -1)], "s string, p string, o string, op int"))
+    store.append(6, spark.createDataFrame([("q", "q", "q", 1)], "s string, p string, o string, op int"))
+    assert check(6) and state(store.open(), 6) == "12467q"
+    rows = store.open().describe().orderBy("version").collect()
+    assert [x.triples for x in rows] == [2, 2, 3, 4, 5, 5, 6] and [x.version for x in rows if x.is_snapshot] == [3] and rows[5].deletions == 1
+    assert [x.s for x in store.open().vm(6, limit=2, order="reverse").collect()] == ["q", "7"]
+
+
 def test_purge_below_the_snapshot(spark, folder, tmp_path):
     store = Store(spark, f"{tmp_path}/store").create(Archive.from_folder(spark, folder, 5))
     store.purge(3)
