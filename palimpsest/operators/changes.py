@@ -15,8 +15,11 @@ SHAPES = (("s", "p"), ("s", "o"), ("s",), ("p", "o"), ("p",), ("o",), ())
 
 
 def steps(log: DataFrame, low: int, high: int, pattern: TriplePattern = EVERYTHING) -> DataFrame:
-    """Steps after version low up to high."""
-    return pattern.filter(log.filter((F.col("version") > low) & (F.col("version") <= high)))
+    """Steps after version low up to high.
+
+    Terms are never null; saying so lets a join and a union read the same shuffle, for joins add that condition themselves.
+    """
+    return pattern.filter(log.filter((F.col("version") > low) & (F.col("version") <= high)).filter(" and ".join(f"{c} is not null" for c in TRIPLE)))
 
 
 def net(log: DataFrame, low: int, high: int, pattern: TriplePattern = EVERYTHING, sign: int = 1) -> DataFrame:

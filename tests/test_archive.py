@@ -176,3 +176,18 @@ def test_pattern_reaches_the_scan(spark, tmp_path):
     a = Archive({0: spark.read.parquet(f"{tmp_path}/snap")}, spark.read.parquet(f"{tmp_path}/log"), 0, 1)
     plan = a.vm(1, TriplePattern(p="c"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EqualTo(p,c)") >= 2 and "PythonUDF" not in plan and "Arrow" not in plan
+
+
+def test_the_log_is_shuffled_once(spark, tmp_path):
+    a = make(spark, ["aaa", "abb"], {1: ["-aaa", "+acc"]})
+    a.log.write.parquet(f"{tmp_path}/log")
+    a.snapshots[0].write.parquet(f"{tmp_path}/snap")
+    a = Archive({0: spark.read.parquet(f"{tmp_path}/snap")}, spark.read.parquet(f"{tmp_path}/log"), 0, 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = a.vm(1)
+        assert {"".join(x) for x in df.collect()} == {"abb", "acc"}
+        assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
