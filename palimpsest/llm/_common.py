@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as in the pattern [\x20\x09-\x0D].
 SPACES = (0x20, *range(0x09, 0x0E))
 #: Bytes of text that are hashed at a time; the arrays made on the way take some forty times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,9 +33,9 @@ BYTE_CHARS = {b: b if 0x21 <= b <= 0x7E else 0x100 + b for b in range(256)}
 #: The piece that the format demands for unknown text; no character of it stands for a byte.
 UNKNOWN = "\u2047"
 #: Units of text whose ids a Python worker keeps, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 600_000, 64
+CACHE_UNITS, CACHE_CHARS = 250_000, 64
 #: Texts of so many characters together are encoded at a time.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -32,7 +32,7 @@ TRAIN_ROWS, MAX_LANGUAGES = 1500, 500
 CALIBRATE, TEMPERATURES, SLACK = 5, (1.0, 2.0, 4.0, 8.0, 16.0, 32.0), 1.5
 UNKNOWN = "und"
 #: Characters that are scored at a time; slots of a worker's table of n-grams met before.
-CHUNK_CHARS, SLOTS = 1 << 20, 1 << 18
+CHUNK_CHARS, SLOTS = 1 << 18, 1 << 18
 
 _LETTERS: np.ndarray | None = None
 _FACTORS = [pow(0x9E3779B97F4A7C15 | 1, k + 1, 1 << 64) for k in range(16)]
@@ -164,7 +164,7 @@ class Identifier:
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
         truth = np.array([self.names.index(x) for x in langs])
-        entropy, n = self.entropies(texts)
+        entropy, n = (np.concatenate(x) for x in zip(*(self.entropies(part) for part in _chunks(texts)), strict=True))
         has = n > 0
         if not has.any():
             return
@@ -198,20 +198,15 @@ def learn(texts: list[str], langs: list[str], order: int = ORDER) -> Identifier:
     calibrating = np.arange(len(texts)) % CALIBRATE == CALIBRATE - 1
     for name in sorted(set(langs)):
         own = [t for t, x, c in zip(texts, langs, calibrating, strict=True) if x == name and not c] or [t for t, x in zip(texts, langs, strict=True) if x == name]
-        keys: dict[str, list[np.ndarray]] = {"g": [], "c": [], "n": []}
+        grams, contexts, counts = np.empty((order, 0), np.uint64), np.empty((order, 0), np.uint64), np.empty(0, np.int64)
         for chunk in _chunks(own):
             sym, doc = symbols(chunk)
-            grams, contexts = gram_hashes(sym, doc, order), context_hashes(sym, doc, order)
-            _, first, count = np.unique(grams[-1], return_index=True, return_counts=True)
-            keys["g"].append(np.stack([g[first] for g in grams]))
-            keys["c"].append(np.stack([c[first] for c in contexts]))
-            keys["n"].append(count)
-        if not keys["n"]:
-            continue
-        g, c, n = np.concatenate(keys["g"], axis=1), np.concatenate(keys["c"], axis=1), np.concatenate(keys["n"])
-        _, first, back = np.unique(g[-1], return_index=True, return_inverse=True)
-        if len(first):
-            models[name] = CharModel(list(g[:, first]), list(c[:, first]), np.bincount(back, n))
+            g, c = (np.concatenate([x, f(sym, doc, order)], axis=1) for x, f in ((grams, gram_hashes), (contexts, context_hashes)))
+            n = np.concatenate([counts, np.ones(len(sym), np.int64)])
+            _, first, back = np.unique(g[-1], return_index=True, return_inverse=True)
+            grams, contexts, counts = g[:, first], c[:, first], np.bincount(back, n)
+        if len(counts):
+            models[name] = CharModel(list(grams), list(contexts), counts)
     out = Identifier(models, order)
     held = [(t, x) for t, x, c in zip(texts, langs, calibrating, strict=True) if c and x in models]
     if held:

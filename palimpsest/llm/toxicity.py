@@ -99,7 +99,8 @@ def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES) -> tuple[np.n
         for batch in batches:
             texts = utf8(batch.column(0))
             for a, b in slices(texts):
-                found += [x.astype(np.int32) for x in distinct_features(texts[a:b], bits)]
+                part = distinct_features(texts[a:b], bits)  # views of one array, which is freed as a whole
+                found += np.split(np.concatenate(part).astype(np.int32), np.cumsum([len(x) for x in part])[:-1])
             label += batch.column(1).to_pylist()
         model = FTRL(bits)
         for k in range(passes):
