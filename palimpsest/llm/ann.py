@@ -30,6 +30,8 @@ from palimpsest.llm._common import checkpoint, table
 LIST_ROWS, SAMPLE, DEGREE, BEAM = 200, 20_000, 24, 16
 REPLICAS, SPREAD, RATIO, LEAST_LISTS, MOST_LISTS = 6, 0.08, 0.35, 16, 64
 BLOCK = 4096
+#: Rows of the sample that tell how long lists are; entries in a part of a list, about.
+PROBE, PART_ROWS = 4000, 1 << 16
 
 
 class Centroids:
@@ -220,13 +222,18 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(centroid.astype(np.int32)), part.column(0).take(at), part.column(1).take(at), pa.nulls(len(row), pa.list_(pa.int64()))], names=["list", "query", "v", "ids"])
 
     schema = "list int, query long, v array<double>, ids array<long>"
-    # a list's entries in parts of some thousands, each of which meets all of its queries
+    # a long list's entries in parts, each of which meets all of its queries; how long it is about, the sample tells
     posts = entries.mapInArrow(post, schema)
-    sizes = posts.groupBy("list").count().collect()  # a row per centroid
-    parts = {r["list"]: -(-r["count"] // (16 * BLOCK)) for r in sizes}
-    n_parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in parts.items() for x in p)), F.col("list")), F.lit(1))
-    posts = posts.withColumn("part", F.pmod(F.xxhash64("v"), n_parts).cast("int"))
-    asks = rows.filter(queries).select("vec_id", "v").mapInArrow(ask, schema).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    some = x[:PROBE]
+    found = np.bincount(index.choose(index.lengthened(some), SPREAD, 1, REPLICAS)[1], minlength=len(index.points)) * (count / len(some))
+    split = [(int(c), int(n)) for c, n in enumerate(np.ceil(found / PART_ROWS)) if n > 1]
+    n_parts = F.lit(1)
+    asks = rows.filter(queries).select("vec_id", "v").mapInArrow(ask, schema)
+    if split:  # a row per centroid at most
+        many = F.broadcast(spark.createDataFrame(split, "list int, parts int"))
+        posts, asks, n_parts = posts.join(many, "list", "left"), asks.join(many, "list", "left"), F.coalesce("parts", F.lit(1))
+    posts = posts.withColumn("part", F.pmod(F.xxhash64("v"), n_parts).cast("int")).select("list", "part", "query", "v", "ids")
+    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1))).select("list", "part", "query", "v", "ids")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, x, ids, out = None, [], [], []
@@ -249,8 +256,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
                 out = []
 
-    both = posts.unionByName(asks).select("list", "part", "query", "v", "ids")
-    met = both.repartition("list", "part").sortWithinPartitions("list", "part", F.col("query").asc_nulls_first()).mapInArrow(meet, "query_id long, vec_id long, score double")
+    met = posts.unionByName(asks).repartition("list", "part").sortWithinPartitions("list", "part", F.col("query").asc_nulls_first()).mapInArrow(meet, "query_id long, vec_id long, score double")
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.llm import ann
 from palimpsest.llm.ann import Centroids, nearest, op6_nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -36,7 +38,9 @@ def test_all_lists_give_exact_results(spark, sf_dir):
         assert [g[1] for g in got] == [v for v, _ in found] and np.allclose([g[2] for g in got], [-a for _, a in found])
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("part_rows", [1 << 16, 20])
+def test_recall(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ann, "PART_ROWS", part_rows)
     r = np.random.default_rng(2)
     centers = r.normal(size=(12, 24))
     x = centers[r.integers(0, 12, 3000)] + 0.7 * r.normal(size=(3000, 24))
