@@ -5,7 +5,8 @@ sample is halved again and again, each part at the median of its widest directio
 centroids, whose lists are of like size. A vector goes to its nearest centroid's list and, near a boundary, to those of up to
 ``REPLICAS`` centroids whose distance is at most (1 + ``SPREAD``) times the least. Centroids are found by a best-first search of a
 graph of their neighbours, held in memory. A query looks at the lists of the centroids whose distance is at most (1 + ``RATIO``)
-times the least one, ``LEAST_LISTS`` at least and ``MOST_LISTS`` at most. Scores are inner products in double precision of the original vectors.
+times the least but one, ``LEAST_LISTS`` at least. If those are more than ``MOST_LISTS``, as on vectors without clusters, it is compared
+with every vector instead, so its answer is exact. Scores are inner products in double precision of the original vectors.
 
 Equal vectors are one entry with its smallest ids, one more than are asked for: others can't be among the nearest. The sample is
 bounded by ``SAMPLE`` rows and so is the number of centroids; every vector is indexed. A list's task reads its vectors in blocks.
@@ -30,8 +31,10 @@ from palimpsest.llm._common import checkpoint, table
 LIST_ROWS, SAMPLE, DEGREE, BEAM = 200, 20_000, 24, 16
 REPLICAS, SPREAD, RATIO, LEAST_LISTS, MOST_LISTS = 6, 0.08, 0.35, 16, 64
 BLOCK = 4096
-#: Rows of the sample that tell how long lists are; entries in a part of a list, about.
-PROBE, PART_ROWS = 4000, 1 << 16
+#: Rows of the sample that tell how long lists are; entries in a part of a list, about; of the list of all, at least; scores at a time.
+PROBE, PART_ROWS, LEAST_ROWS, SCORES = 4000, 1 << 16, 1 << 12, 1 << 22
+#: The list of every vector once, for queries that no choice of lists serves.
+ALL = -1
 
 
 class Centroids:
@@ -118,6 +121,18 @@ class Centroids:
         row, col = np.nonzero(good)
         return row, ids[row, col]
 
+    def ask(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) that queries read: those within the ratio, or ALL where these are too many.
+
+        The ratio is to the least distance but one: the centroid of a query's own list is a mean of few vectors, maybe the query among them.
+        """
+        ids, dist = self.search(x, MOST_LISTS + 1)
+        good = (dist <= dist[:, : min(2, dist.shape[1])].max(axis=1, keepdims=True) * (1 + RATIO)) | (np.arange(ids.shape[1]) < LEAST_LISTS)
+        good &= np.isfinite(dist)
+        many = good.sum(axis=1) > MOST_LISTS
+        row, col = np.nonzero(good & ~many[:, None])
+        return np.concatenate([row, np.flatnonzero(many)]), np.concatenate([ids[row, col], np.full(many.sum(), ALL)])
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
@@ -203,32 +218,46 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
     index = Centroids(x, radius, max(2.0, list_rows * len(x) / count))
     shared = spark.sparkContext.broadcast(index)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                row, centroid = c.choose(c.lengthened(_matrix(part.column(0))), SPREAD, 1, REPLICAS)
+                row, centroid = c.ask(c.direction(_matrix(part.column(1))))
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(centroid.astype(np.int32)), pa.nulls(len(row), pa.int64()), part.column(0).take(at), part.column(1).take(at)], names=["list", "query", "v", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(centroid.astype(np.int32)), part.column(0).take(at), part.column(1).take(at), pa.nulls(len(row), pa.list_(pa.int64()))], names=["list", "query", "v", "ids"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = "list int, query long, v array<double>, ids array<long>"
+    asks = checkpoint(rows.filter(queries).select("vec_id", "v").mapInArrow(ask, schema))
+    # vectors are posted to lists that are asked for; a row per centroid at most
+    asked = {x[0] for x in asks.select("list").distinct().collect()}
+    every, some_lists = ALL in asked, np.isin(np.arange(len(index.points)), list(asked))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                row, centroid = c.choose(c.direction(_matrix(part.column(1))), RATIO, LEAST_LISTS, MOST_LISTS)
+                row, centroid = np.empty(0, np.int64), np.empty(0, np.int64)
+                if some_lists.any():
+                    row, centroid = c.choose(c.lengthened(_matrix(part.column(0))), SPREAD, 1, REPLICAS)
+                    row, centroid = row[some_lists[centroid]], centroid[some_lists[centroid]]
+                if every:
+                    row, centroid = np.concatenate([row, np.arange(part.num_rows)]), np.concatenate([centroid, np.full(part.num_rows, ALL)])
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(centroid.astype(np.int32)), part.column(0).take(at), part.column(1).take(at), pa.nulls(len(row), pa.list_(pa.int64()))], names=["list", "query", "v", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(centroid.astype(np.int32)), pa.nulls(len(row), pa.int64()), part.column(0).take(at), part.column(1).take(at)], names=["list", "query", "v", "ids"])
 
-    schema = "list int, query long, v array<double>, ids array<long>"
     # a long list's entries in parts, each of which meets all of its queries; how long it is about, the sample tells
     posts = entries.mapInArrow(post, schema)
-    some = x[:PROBE]
-    found = np.bincount(index.choose(index.lengthened(some), SPREAD, 1, REPLICAS)[1], minlength=len(index.points)) * (count / len(some))
+    found = np.zeros(len(index.points))
+    if some_lists.any():
+        some = x[:PROBE]
+        found = np.bincount(index.choose(index.lengthened(some), SPREAD, 1, REPLICAS)[1], minlength=len(index.points)) * (count / len(some))
     split = [(int(c), int(n)) for c, n in enumerate(np.ceil(found / PART_ROWS)) if n > 1]
+    if every:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        split.append((ALL, max(-(-count // PART_ROWS), min(tasks, -(-count // LEAST_ROWS)))))
     n_parts = F.lit(1)
-    asks = rows.filter(queries).select("vec_id", "v").mapInArrow(ask, schema)
     if split:  # a row per centroid at most
         many = F.broadcast(spark.createDataFrame(split, "list int, parts int"))
         posts, asks, n_parts = posts.join(many, "list", "left"), asks.join(many, "list", "left"), F.coalesce("parts", F.lit(1))
@@ -249,8 +278,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
                 elif ids:
                     if len(x) > 1:
                         x = [np.concatenate(x)]
-                    for s in range(a, b, 256):
-                        e = min(b, s + 256)
+                    step = max(1, min(256, SCORES // len(x[0])))
+                    for s in range(a, b, step):
+                        e = min(b, s + step)
                         out += _best(v[s:e], batch.column(2).slice(s, e - s).to_numpy(), x[0], ids, k)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])

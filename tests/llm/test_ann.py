@@ -71,3 +71,14 @@ def test_few(spark):
     make = lambda rows: sorted(tuple(x) for x in nearest(spark.createDataFrame(rows, SCHEMA), F.lit(True)).collect())
     assert make([]) == [] and make([(1, [1.0, 0.0], 0)]) == []
     assert make([(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 2.0], 0)]) == [(1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0)]
+
+
+def test_no_cap_on_vectors_without_clusters(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    # 512 lists, far more than MOST_LISTS
+    out = nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 80 == 0, 20, list_rows=8).collect()
+    want = brute(rows, 20, lambda i: i % 80 == 0)
+    assert {q: [v for v, _ in f] for q, f in want.items()} == {q: [a.vec_id for a in sorted(out, key=lambda a: a["rank"]) if a.query_id == q] for q in want}
