@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, mixing, simhash, toxicity
+from palimpsest.llm import langid, mixing, similar, toxicity
 from palimpsest.llm._common import shared_dir, table
 from palimpsest.llm.byte_bpe import encode_documents
 
@@ -26,7 +26,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """Drops all but one of texts whose SimHashes are within 4 bits, and of what is left, of texts with five-word Jaccard likeness 0.8 or more."""
+    return similar.keep_one_like(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,11 +199,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", distance: int = DISTANC
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_key() -> Column:
+    """A key of doc_id and text, ordered as doc_id is, nulls last."""
+    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(F.coalesce(number, F.lit("~")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The documents, all their columns, less all but one of each component: of its smallest doc_id stays one row, nulls last."""
-    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
-    key = F.concat(F.coalesce(number, F.lit("~")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.withColumn("_key", row_key())
     kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), "text", distance).filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
