@@ -175,7 +175,7 @@ def references(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(id, refers_to) of the pages that revisit another. pages: (page_id, html)."""
     each = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"), F.octet_length("html").alias("n")).filter(F.col("n") >= least).drop("n")
     # a written table on either side lets Spark split the rows of a digest that many pages share
-    groups = checkpoint(each.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    groups = checkpoint(each.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n"))
     return each.join(groups, "digest").filter("page_id is null or page_id < refers_to").select(F.col("page_id").alias("id"), "digest", "refers_to")
 
 

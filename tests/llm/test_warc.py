@@ -76,3 +76,10 @@ def test_query(spark, sf_dir):
         want.append((k, len(b), sha(b), "revisit" if again else "response", top[h or ""] if again else None))
     assert out == sorted(map(str, want))
     assert op9_warc(spark, sf_dir(pages=frame.limit(0))).count() == 0
+
+
+def test_pages_without_ids_keep_their_payload(spark, sf_dir):
+    rows = [(None, "a", "n" * 1200), (None, "b", "n" * 1200), (None, "c", "m" * 1200), (5, "d", "m" * 1200)]
+    out = op9_warc(spark, sf_dir(pages=spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    kinds = sorted((x[1], x[2], x[3], x[4]) for x in out if x[3] == "response")
+    assert kinds == sorted([(1200, sha(b"n" * 1200), "response", None)] * 2 + [(1200, sha(b"m" * 1200), "response", None)])
