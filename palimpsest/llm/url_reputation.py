@@ -6,12 +6,16 @@ Each level has one prior strength, by moments: with n outcomes and a parent's me
 expectation 1+(n-1)*rho, and the strength is 1/rho-1. A url is blocked if the posterior's lower bound for its host, the mean less
 ``Z`` standard deviations, is above ``MAX_BAD``: a host is blocked on evidence, not for want of it.
 
-The registered domain is the host's last two labels, the suffix the last one; a host of fewer labels is its own. Rules come first:
-a rule is a host and a path, fits this host and all its subdomains if the url's path starts with its path, and the longest wins.
+For reputation alone, user information, port and closing dots are cut off the host. Its suffix is the last label, or the last two
+where a country's registry registers below labels such as ``co.uk`` (``REGISTRIES``, a rule rather than a list of all suffixes); the
+registered domain has one label more. A numeric address is its own domain, and all of them have one suffix. Pages of one host that
+differ in port share its reputation. Rules come first: a rule is a host and a path, fits this host and all its subdomains if
+the url's path starts with its path, and the longest wins.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, which fit no rule; hosts like any other
-otherwise. An outcome is a label of the page's id: bad if quality is 0, no outcome if it is null; of several, each counts.
-Pages with a null id have no outcome. An empty table gives an empty result. Columns not named here aren't looked at.
+otherwise. An outcome is a label of the page's id: bad if quality is 0, no outcome if it is null; of several, each counts, and for
+each page that has the id. Pages with a null id have no outcome. A lower bound that equals ``MAX_BAD`` is allowed. Long urls are
+read as a whole. An empty table gives an empty result. Columns not named here aren't looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ Z, MAX_BAD = 1.645, 0.25
 #: The overall mean counts one outcome more, of this badness: all there is without labels.
 FEW_BAD = 0.1
 LEAST_RHO, MOST_RHO = 0.001, 0.5
+#: Labels below which registries of two-letter domains register names, fixed values.
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch")
+#: The suffix of numeric addresses; no host can have it.
+ADDRESSES = "#"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +49,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def bare_host(host: Column) -> Column:
+    """A host without user information, port and closing dots."""
+    return F.regexp_replace(host, r"(?s)\A.*@|:[0-9]*\z|\.+(?=(:[0-9]*)?\z)", "")
+
+
+def domain_and_suffix(bare: Column) -> tuple[Column, Column]:
+    address = F.rlike(bare, F.lit(r"\A([0-9]+(\.[0-9]+){3}|\[.*)\z"))
+    two = F.rlike(bare, F.lit(rf"(\A|\.)({'|'.join(REGISTRIES)})\.[a-z][a-z]\z"))
+    last = lambda n: F.regexp_extract(bare, rf"([^.]*\.){{0,{n - 1}}}[^.]*\z", 0)
+    return F.when(address, bare).when(two, last(3)).otherwise(last(2)), F.when(address, ADDRESSES).when(two, last(2)).otherwise(last(1))
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as host and path in one string, and its verdict; null if none fits."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -65,10 +85,10 @@ def _strength(groups: DataFrame, mean: Column) -> float:
 
 
 def reputation(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, lower) of every host. pages: (id, host); found: as outcomes gives them."""
-    domain = F.regexp_extract("host", r"(?s)([^.]*\.[^.]*|[^.]*)$", 1)
+    """(host, n, bad, mean, lower) of every bare host. pages: (id, host); found: as outcomes gives them."""
+    domain, suffix = domain_and_suffix(F.col("host"))
     hosts = pages.join(found, "id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = checkpoint(hosts.withColumn("domain", domain).withColumn("suffix", F.substring_index("domain", ".", -1)))
+    hosts = checkpoint(hosts.withColumns({"domain": domain, "suffix": suffix}))
     sums = lambda df: df.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = sums(hosts).first()
     mean = ((bad or 0) + FEW_BAD) / ((n or 0) + 1)
@@ -89,10 +109,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     """(page_id, host, path, rule, verdict, mean, lower) of every page."""
     urls = pages.select(pages["page_id"].alias("page_id"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     # a written table on either side lets Spark split the rows of a hot host
-    hosts = checkpoint(reputation(urls.select(F.col("page_id").alias("id"), "host"), outcomes(labels)).select("host", "mean", "lower"))
+    known = reputation(urls.select(F.col("page_id").alias("id"), bare_host(F.col("host")).alias("host")), outcomes(labels))
+    hosts = checkpoint(known.select(F.col("host").alias("bare"), "mean", "lower"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("lower") > max_bad, "block").otherwise("allow")
-    return urls.join(hosts, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "mean", "lower")
+    return urls.join(hosts, bare_host(F.col("host")) == F.col("bare")).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "mean", "lower")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +125,14 @@ WITH u AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT doc_id AS id, count(*) AS n, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+ub AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)\A.*@', ''), ':[0-9]*\z', ''), '\.+\z', '') AS bare FROM u),
 h AS (
-  SELECT host, regexp_extract(host, '([^.]*\.[^.]*|[^.]*)$', 1) AS domain, CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
-  FROM u LEFT JOIN o ON u.page_id = o.id GROUP BY host),
-hs AS (SELECT *, regexp_extract(domain, '[^.]*$') AS suffix FROM h),
+  SELECT bare AS host, CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
+  FROM ub LEFT JOIN o ON ub.page_id = o.id GROUP BY bare),
+k AS (SELECT *, regexp_matches(host, '\A([0-9]+(\.[0-9]+){3}|\[.*)\z') AS address, regexp_matches(host, '(\A|\.)(""" + "|".join(REGISTRIES) + r""")\.[a-z][a-z]\z') AS two FROM h),
+hs AS (
+  SELECT host, n, bad, CASE WHEN address THEN host WHEN two THEN regexp_extract(host, '([^.]*\.){0,2}[^.]*\z') ELSE regexp_extract(host, '([^.]*\.){0,1}[^.]*\z') END AS domain,
+    CASE WHEN address THEN '#' WHEN two THEN regexp_extract(host, '([^.]*\.){0,1}[^.]*\z') ELSE regexp_extract(host, '[^.]*\z') END AS suffix FROM k),
 g AS (SELECT (coalesce(sum(bad), 0) + 0.1::DOUBLE) / (coalesce(sum(n), 0) + 1) AS m FROM hs),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hs GROUP BY suffix),
 sk AS (SELECT count(*) AS k, sum(n) AS n, sum(pow(bad / n - m, 2) * n / (m * (1 - m))) AS x FROM s0, g WHERE n > 0),
@@ -130,6 +155,6 @@ r AS (
     WHEN (u.host = 'com' OR ends_with(u.host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (u.host = 'com' OR ends_with(u.host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (u.host = 'org' OR ends_with(u.host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM u JOIN v ON u.host = v.host)
+  FROM ub u JOIN v ON u.bare = v.host)
 SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN by_method WHEN rule IN ('org/', 'com/fr/') THEN 'allow' ELSE 'block' END AS verdict FROM r
 """

@@ -82,3 +82,34 @@ def test_query(spark, sf_dir):
         assert x.verdict == ("block" if "spam" in x.host or x.rule == "example.org/es/" else "allow")
     assert op4_url_filter(spark, sf_dir(pages=frame.limit(0), labels=labels)).count() == 0
     assert {x.verdict for x in judge(frame, labels.limit(0)).collect() if x.rule is None} == {"allow"}
+
+
+def test_registered_domains(spark):
+    cases = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "www.x.com": ("x.com", "com"), "com": ("com", "com"), "x.com:8080": ("x.com", "com"), "me@x.com:": ("x.com", "com"), "x.com.": ("x.com", "com"), "a.x.com.:80": ("x.com", "com"), "10.0.0.1:80": ("10.0.0.1", "#"), "[::1]": ("[::1]", "#"), "": ("", ""), "www.news.de": ("news.de", "de"), "a.com.de": ("a.com.de", "com.de"), "x.co.uk2": ("co.uk2", "uk2")}
+    domain, suffix = url_reputation.domain_and_suffix(F.col("b"))
+    bare = url_reputation.bare_host(F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in cases], "h string").select("h", bare.alias("b")).select("h", domain.alias("d"), suffix.alias("s")).collect()
+    assert {x.h: (x.d, x.s) for x in rows} == cases
+
+
+def test_sql(spark, sf_dir):
+    import duckdb
+
+    r = random.Random(11)
+    hosts = ["a.co.uk", "b.co.uk", "x.a.co.uk:80", "me@b.co.uk", "10.0.0.1", "10.0.0.2:8", "good.net", "bad.net.", "www.bad.net", "com", "q.com", "[::1]:9"]
+    bad = {h for h in hosts if "a.co" in h or "bad" in h or "10.0" in h}
+    pages, labels = [], []
+    for i in range(1500):
+        h = r.choice(hosts)
+        pages.append((i, f"http://{h}/p/{i}"))
+        if i % 2:
+            labels.append((i, int(r.random() > (0.9 if h in bad else 0.05)), 0))
+    path = sf_dir(pages=spark.createDataFrame(pages + [(None, None), (7, "x")], "page_id long, url string"), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = op4_url_filter(spark, path)
+    with duckdb.connect() as db:
+        for t in ("pages", "labels"):
+            db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+        want = db.sql(url_reputation.OP4_SQL).select(*got.columns).fetchall()
+    rows = got.collect()
+    assert sorted(map(str, (tuple(x) for x in rows))) == sorted(map(str, want))
+    assert {x.host for x in rows if x.verdict == "block"} == bad | {"x.a.co.uk:80"} & {x.host for x in rows}
