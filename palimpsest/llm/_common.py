@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is missing, as in tests on one machine, a temporary folder is set as the checkpoint folder.
+    Where the setting is missing, as in tests on one machine, a temporary folder is set as the checkpoint folder; a cluster must
+    name one.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -122,6 +126,8 @@ def word_and_head_hashes(texts: list[bytes], kinds: np.ndarray, head: int) -> tu
     """As word_hashes, and hashes of the words' first bytes; a word that isn't longer than these has its own hash."""
     if not texts:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    if len(texts) == 1 and len(texts[0]) > 2 * CHUNK_BYTES:
+        return _of_long_text(texts[0], kinds, head)
     end = bytes([int(np.flatnonzero(kinds == 0)[0])])
     a = kinds[np.frombuffer(end.join(texts) + end, np.uint8)]
     edge = np.diff((a != 0).view(np.int8), prepend=np.int8(0))
@@ -137,5 +143,33 @@ def word_and_head_hashes(texts: list[bytes], kinds: np.ndarray, head: int) -> tu
     return upto(ends), np.diff(counts, prepend=0), upto(np.minimum(ends, starts + head)) if head else np.empty(0, np.uint64)
 
 
+def _of_long_text(text: bytes, kinds: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_and_head_hashes, of one text in blocks that end between words; a word longer than a block is summed up by itself."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    at, power = 0, _powers(CHUNK_BYTES)[0]
+    while at < len(text):
+        block = kinds[np.frombuffer(text, np.uint8, min(CHUNK_BYTES, len(text) - at), at)]
+        between = np.flatnonzero(block == 0)
+        if len(between) or at + len(block) == len(text):
+            end = at + (int(between[-1]) + 1 if len(between) and at + len(block) < len(text) else len(block))
+            h, _, heads = word_and_head_hashes([text[at:end]], kinds, head)
+        else:
+            total, end = 0, at
+            while end < len(text):
+                block = kinds[np.frombuffer(text, np.uint8, min(CHUNK_BYTES, len(text) - end), end)]
+                between = np.flatnonzero(block == 0)
+                block = block[: between[0]] if len(between) else block
+                total += int((block * power[: len(block)]).sum(dtype=np.uint64)) * pow(_PRIME, end - at, 1 << 64)
+                end += len(block)
+                if len(between):
+                    break
+            h = mix(np.array([(total + end - at) & (1 << 64) - 1], np.uint64))
+            heads = word_and_head_hashes([text[at : at + head]], kinds, head)[0] if head else h[:0]
+        found.append((h, heads))
+        at = end
+    h, heads = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h, np.array([len(h)]), heads
+
+
 def word_hash(word: bytes, kinds: np.ndarray = WORD_BYTES) -> int:
     return int(word_hashes([word], kinds)[0][0])

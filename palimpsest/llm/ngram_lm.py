@@ -11,7 +11,9 @@ successors lie in many shards. Counts travel as sorted packed arrays. Each part
 under another name first, and executors map the files; their memory holds what one batch of texts needs.
 
 Defined results: a null text is empty: its end alone is a token. Rows with a null id don't train and aren't held out. Without
-training rows N and V are 0 and all scores 0. Repeated rows count each. Columns other than doc_id and text aren't looked at.
+training rows N and V are 0 and all scores 0. Repeated rows count each; equal texts score alike. Long texts are hashed a block of
+words at a time; beside the text they take some 100 bytes a word. A vocabulary of 2**32 words or more is refused, for words are
+numbered by 32 bits. Columns other than doc_id and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -277,6 +279,8 @@ def train(texts: DataFrame, folder: str) -> Model:
     parts = checkpoint(rows.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(lambda b: _built(b, folder, "words", _build_words), "part int, n long, total long"))
     sizes = parts.collect()  # a row of numbers per bucket
     vocabulary = Vocabulary(folder, bits, {x.part: x.n for x in sizes}, sum(x.total for x in sizes))
+    if vocabulary.size >= 1 << 32:
+        raise ValueError("more words than 32 bits can number")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.total // SHARD_TOKENS))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,10 @@ the table has at most 2**bits entries of 12 bytes, which bounds what is sent to
 
 Defined results: null and empty texts have no features, their score is that of the bias. A document whose id is null is no
 training row and isn't held out. Of several labels of one document the largest counts; a null label is none. Without any
-training rows each score is 0.5. Repeated rows are scored alike. Columns of the input other than doc_id and text aren't looked at.
+training rows each score is 0.5. Repeated rows are scored alike. Labels of ids that aren't among the documents don't count
+towards the bound; of several documents with one id the smallest text trains. A score that equals the threshold is toxic. Long
+texts are read a block of words at a time; beside the text they take some 60 bytes a word. Columns of the input other than doc_id
+and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import LETTER_BYTES, combine, crc_mod, slices, table, utf8, word_and_head_hashes
+from palimpsest.llm._common import LETTER_BYTES, checkpoint, combine, crc_mod, slices, table, utf8, word_and_head_hashes
 
 BITS, HEAD = 20, 8
 #: FTRL-proximal: learning rate, its offset, L1 and L2 strengths; passes over the sample.
@@ -84,10 +87,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, fo
     """(text, label, turn) of the sample: labelled documents outside the held-out fold, those of the smallest hashes of the id."""
     known = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("label")).filter(F.col("label").isNotNull() & (crc_mod("doc_id", fold) != held))
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).withColumn("turn", F.xxhash64("doc_id", F.lit(3)))
-    known = known.orderBy("turn", "doc_id").limit(most)
-    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
+    known = checkpoint(known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # turns are spread evenly: a threshold leaves somewhat more than are wanted, so no task sorts many times the sample
+    share = min(1.0, (most + most // 4 + 100) / max(1, known.count()))
+    known = known.filter(F.col("turn") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).orderBy("turn", "doc_id").limit(most)
     # at most ``most`` rows of a few bytes; the texts stay where they are read until the sample is chosen
-    return texts.join(F.broadcast(known), "doc_id").select("turn", "doc_id", "text", "label")
+    return texts.join(F.broadcast(known), "doc_id").groupBy("turn", "doc_id", "label").agg(F.min("text").alias("text")).select("turn", "doc_id", "text", "label")
 
 
 def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:

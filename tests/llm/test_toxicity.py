@@ -84,3 +84,28 @@ def test_nothing_to_learn(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, toxic int, text string")
     assert [x.score for x in score_toxicity(docs_of([(1, "a"), (2, None)]), none).collect()] == [0.5, 0.5]
     assert score_toxicity(docs_of([(1, "a")]).limit(0), none).count() == 0
+
+
+def test_labels_of_absent_documents_do_not_use_up_the_sample(spark, docs_of):
+    data, toxic = rows(300, 3)
+    labels = spark.createDataFrame([(k, v) for k, v in toxic.items()] + [(100_000 + i, 0) for i in range(20_000)], "doc_id long, toxic int")
+    free = [i for i, _ in data if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = toxicity.training_rows(docs_of([*data, (free[0], "a copy")]), labels, 500).collect()
+    assert sorted(x.doc_id for x in got) == free
+    assert sorted(x.doc_id for x in toxicity.training_rows(docs_of(data), labels, 20).collect()) == sorted(x.doc_id for x in sorted(got, key=lambda x: (x.turn, x.doc_id))[:20])
+
+
+def test_words_of_long_texts(monkeypatch):
+    from palimpsest.llm import _common
+
+    r = random.Random(5)
+    text = b" ".join(bytes(r.choices(b"abC\xc3\xa9\t", k=r.randrange(1, 30))) for _ in range(4000)) + b" " + b"x" * 9000 + b" tail  "
+    want = _common.word_and_head_hashes([text], WORD_BYTES, 4)
+    monkeypatch.setattr(_common, "CHUNK_BYTES", 1000)
+    got = _common.word_and_head_hashes([text], WORD_BYTES, 4)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    for t in (b" " * 5000, b"y" * 5000, b"y" * 5000 + b" "):
+        monkeypatch.setattr(_common, "CHUNK_BYTES", 1000)
+        got = _common.word_and_head_hashes([t], WORD_BYTES, 8)
+        monkeypatch.setattr(_common, "CHUNK_BYTES", 1 << 20)
+        assert all(np.array_equal(a, b) for a, b in zip(got, _common.word_and_head_hashes([t], WORD_BYTES, 8), strict=True))
