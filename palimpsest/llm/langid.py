@@ -6,12 +6,14 @@ n-gram and the weight that each context leaves to the next lower order. The lang
 wins. Two things are calibrated on a fifth of the sample that the counts don't see: the temperature that turns differences of
 log-likelihood into a score, and the cross-entropy beyond which a text is rejected as being in none of the languages.
 
-Training takes a sample of about ``TRAIN_ROWS`` rows per language, chosen by a hash of the id, whole texts, in one task; the
-models' size is bounded by the sample. Scoring keeps the log-probabilities of n-grams met before in a table of fixed size.
+Training takes a sample of about ``TRAIN_ROWS`` rows per language, fewer if there are so many languages that these would be more
+than ``ALL_TRAIN_ROWS``, chosen by a hash of the id, whole texts, in one task; the models' size is bounded by the sample. Scoring
+keeps the log-probabilities of n-grams met before in a table of fixed size.
 
 Defined results: a null text and one without any letter are ``und``, score 0, rejected; so is every text if nothing was learned.
-Rows with a null lang, a null id or of the held-out fold are never learned from. Repeated rows get equal results. Columns
-of the input other than doc_id, text and lang aren't looked at.
+Rows with a null lang, a null id or of the held-out fold are never learned from; of several with one id and lang the smallest text
+is. Of languages of equal cross-entropy the first in order wins. A long text is scored a window of ``CHUNK_CHARS`` characters at a
+time. Repeated rows get equal results. Columns of the input other than doc_id, text and lang aren't looked at.
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import crc_mod, mix, table
+from palimpsest.llm._common import checkpoint, crc_mod, mix, table
 
 ORDER = 5
-#: Rows per language that train (expected number), and the most languages, the most frequent ones.
-TRAIN_ROWS, MAX_LANGUAGES = 1500, 500
+#: Rows per language that train, and rows of all languages together (expected numbers).
+TRAIN_ROWS, ALL_TRAIN_ROWS = 1500, 150_000
 #: Share of the sample that calibrates; temperatures tried; how far beyond the calibration's 99.9th percentile a text is rejected.
 CALIBRATE, TEMPERATURES, SLACK = 5, (1.0, 2.0, 4.0, 8.0, 16.0, 32.0), 1.5
 UNKNOWN = "und"
-#: Characters that are scored at a time; slots of a worker's table of n-grams met before.
+#: Characters that are scored at a time; slots of a worker's table of n-grams met before. Beyond eight languages both are
+#: fewer in proportion.
 CHUNK_CHARS, SLOTS = 1 << 18, 1 << 18
 
 _LETTERS: np.ndarray | None = None
@@ -134,9 +137,10 @@ class Identifier:
     def _log2(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         """A row for each place and a column for each language."""
         if not hasattr(self, "keys"):
-            self.keys, self.rows = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, len(self.models)), np.float32)
+            slots = max(256, SLOTS >> max(0, (len(self.models) - 1).bit_length() - 3))
+            self.keys, self.rows = np.zeros(slots, np.uint64), np.zeros((slots, len(self.models)), np.float32)
         key = grams[-1]
-        slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot = (key & np.uint64(len(self.keys) - 1)).astype(np.int64)
         out = self.rows[slot]
         new = np.flatnonzero(self.keys[slot] != key)
         if len(new):
@@ -147,16 +151,42 @@ class Identifier:
             self.keys[slot[at]], self.rows[slot[at]] = fresh, values
         return out
 
+    @property
+    def chunk(self) -> int:
+        return max(1024, CHUNK_CHARS * 8 // max(8, len(self.models)))
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per symbol of each text in each language, and its number of symbols."""
+        if len(texts) == 1 and len(texts[0]) > 2 * self.chunk:
+            return self._of_long_text(texts[0])
         sym, doc = symbols(texts)
         n = np.bincount(doc, minlength=len(texts))
-        if not self.models:
-            return np.zeros((len(texts), 0)), n
-        rows = self._log2(gram_hashes(sym, doc, self.order), context_hashes(sym, doc, self.order)) if len(sym) else np.zeros((0, len(self.models)))
-        total = np.stack([np.bincount(doc, rows[:, k], len(texts)) for k in range(len(self.models))], axis=1)
+        total = self._total(sym, doc, len(texts), 0)
         return -total / np.maximum(n, 1)[:, None], n
 
+    def _total(self, sym: np.ndarray, doc: np.ndarray, texts: int, skip: int) -> np.ndarray:
+        """log2 p of each text's symbols in each language, without those before the place ``skip``."""
+        if not len(sym) or not self.models:
+            return np.zeros((texts, len(self.models)))
+        rows = self._log2(*([x[skip:] for x in f(sym, doc, self.order)] for f in (gram_hashes, context_hashes)))
+        return np.stack([np.bincount(doc[skip:], rows[:, k], texts) for k in range(len(self.models))], axis=1)
+
+    def _of_long_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """As entropies, a window at a time; a window starts with the last symbols before it."""
+        before, total, n = np.empty(0, np.uint64), np.zeros((1, len(self.models))), 0
+        for at in range(0, len(text), self.chunk):
+            # one character more tells whether a space follows a letter
+            head = text[at - 1 : at] if at else ""
+            own = symbols([head])[0]
+            window = symbols([head + text[at : at + self.chunk]])[0][min(1, len(own)) :]
+            if at + self.chunk < len(text) and len(window) and window[-1] == 32 and text[at + self.chunk - 1].lower()[-1:].isalpha():
+                window = window[:-1]  # the space that ends a text; the next window begins with it if there is one
+            sym = np.concatenate([before, window])
+            total += self._total(sym, np.zeros(len(sym), np.int64), 1, len(before))
+            n += len(window)
+            before = sym[max(0, len(sym) - self.order + 1) :]
+        return -total / max(n, 1), np.array([n])
+
     def _scaled(self, entropy: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
         """How far the best language's cross-entropy is above what its texts have; short texts may be further."""
         own = np.take_along_axis(entropy, best[:, None], 1)[:, 0]
@@ -164,7 +194,7 @@ class Identifier:
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
         truth = np.array([self.names.index(x) for x in langs])
-        entropy, n = (np.concatenate(x) for x in zip(*(self.entropies(part) for part in _chunks(texts)), strict=True))
+        entropy, n = (np.concatenate(x) for x in zip(*(self.entropies(part) for part in _chunks(texts, self.chunk)), strict=True))
         has = n > 0
         if not has.any():
             return
@@ -214,10 +244,10 @@ def learn(texts: list[str], langs: list[str], order: int = ORDER) -> Identifier:
     return out
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
     out, total = [], 0
     for x in texts:
-        if total and total + len(x) > CHUNK_CHARS:
+        if total and total + len(x) > limit:
             yield out
             out, total = [], 0
         out.append(x)
@@ -226,15 +256,17 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield out
 
 
-def training_rows(docs: DataFrame, per_language: int = TRAIN_ROWS, fold: int = 4, held: int = 2) -> DataFrame:
-    """(text, lang, turn): the sample, each language by the fraction that gives ``per_language`` rows."""
-    known = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text")).filter(F.col("lang").isNotNull() & (crc_mod("doc_id", fold) != held))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for x in counts:
-        share = F.when(F.col("lang") == x["lang"], per_language / x["count"]).otherwise(share)
+def training_rows(docs: DataFrame, per_language: int = TRAIN_ROWS, fold: int = 4, held: int = 2, all_rows: int = ALL_TRAIN_ROWS) -> DataFrame:
+    """(turn, doc_id, text, lang): the sample, each language by the fraction that gives ``per_language`` rows."""
+    known = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].cast("string").alias("text")).filter(F.col("lang").isNotNull() & (crc_mod("doc_id", fold) != held))
     turn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
-    return known.withColumn("turn", turn).filter(F.col("turn") < share * (1 << 30)).filter("text is not null").select("turn", "doc_id", "text", "lang")
+    # chosen by id, of a few bytes a row, before any text is read
+    ids = known.select("doc_id", "lang", turn.alias("turn"))
+    counts = checkpoint(ids.groupBy("lang").count())
+    share = min(per_language, all_rows / max(1, counts.count())) / F.col("count")
+    chosen = checkpoint(ids.join(counts, "lang").filter(F.col("turn") < share * (1 << 30)).select("doc_id", "lang", "turn").distinct())
+    # about all_rows ids at most
+    return known.filter("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("turn", "doc_id", "lang").agg(F.min("text").alias("text")).select("turn", "doc_id", "text", "lang")
 
 
 def train(rows: DataFrame) -> Identifier:
@@ -248,7 +280,7 @@ def train(rows: DataFrame) -> Identifier:
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(texts, langs))], pa.binary())], names=["model"])
 
-    one = rows.repartition(1).sortWithinPartitions("turn", "doc_id", F.xxhash64("text")).select("text", "lang")
+    one = rows.repartition(1).sortWithinPartitions("turn", "doc_id", "lang").select("text", "lang")
     got = one.mapInArrow(run, "model binary").collect()
     return pickle.loads(got[0].model) if got else Identifier({})
 
@@ -262,7 +294,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
         m = shared.value
         for batch in batches:
             start, texts = 0, [x or "" for x in batch.column(1).to_pylist()]
-            for part in _chunks(texts):
+            for part in _chunks(texts, m.chunk):
                 lang, score, rejected = m.predict(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
                 start += len(part)
@@ -277,7 +309,7 @@ def drop_rejected(docs: DataFrame, model: Identifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            rejected = [m.predict(part)[2] for part in _chunks([x or "" for x in batch.column(at).to_pylist()])]
+            rejected = [m.predict(part)[2] for part in _chunks([x or "" for x in batch.column(at).to_pylist()], m.chunk)]
             yield batch.filter(pa.array(~np.concatenate([np.empty(0, bool), *rejected])))
 
     return docs.mapInArrow(run, docs.schema)

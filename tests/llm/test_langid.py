@@ -110,3 +110,21 @@ def test_rejection():
     model = learn([text(r, x) for x in langs], langs)
     _, _, rejected = model.predict([text(r, "en"), text(r, "ja"), "xqz jjk vvw " * 30])
     assert rejected.tolist() == [False, True, True]
+
+
+def test_long_texts_are_scored_in_windows(monkeypatch):
+    r = random.Random(10)
+    model = learn([text(r, "de", 12) for _ in range(25)], ["de"] * 25)
+    long = [text(r, "de", 300), "a, " * 200, "é" * 500 + "!!  " * 100, "1234 " * 100]
+    want = [model.entropies([x]) for x in long]
+    monkeypatch.setattr(langid.Identifier, "chunk", 37)
+    for x, (e, n) in zip(long, want, strict=True):
+        got, m = model.entropies([x])
+        assert m[0] == n[0] and np.allclose(got, e, atol=1e-5)
+
+
+def test_every_language_is_learned(spark, docs_of):
+    docs = docs_of([(i, f"word{i % 40}", f"l{i % 40}") for i in range(1200)] + [(5, "again", "l5")])
+    rows = langid.training_rows(docs, 10, all_rows=200).collect()
+    assert {x.lang for x in rows} == {f"l{i}" for i in range(40)} and 100 < len(rows) < 300
+    assert len(langid.training_rows(docs, 10_000).select("doc_id", "lang").collect()) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1200))
