@@ -6,7 +6,9 @@ joint piece exists, the pair of the best score and of those the leftmost: the me
 into pre-tokens first and each is encoded by itself; decoding maps ids back to their bytes.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; special tokens have no meaning in a text, it is
-ordinary text there. Columns of the input other than the text stay; a column named as an output is replaced.
+ordinary text there. Of pairs of equal score the leftmost merges. Long texts are encoded a part of ``BATCH_CHARS`` at a time, cut where
+pre-tokens end in any case. A pattern other than ``public_tokenizers.PATTERN`` is matched over whole texts, for where it cuts isn't
+known. Columns of the input other than the text stay; a column named as an output is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -90,7 +93,9 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.find = regex.compile(pattern).findall
         self.uneven = re.compile(r"\s\s").search
-        self.between = re.compile(r"(?<=\S) (?=\S)").split
+        self.space = re.compile(r"(?<=\S) (?=\S)")
+        self.between = self.space.split
+        self.cuts = pattern == public_tokenizers.PATTERN
         self.known: dict[str, bytes] = {}
 
     def _units(self, text: str) -> list[str]:
@@ -102,14 +107,30 @@ class Codec:
     def _learn(self, units: Iterable[str], lead: str) -> dict[str, bytes]:
         """Ids of units after a lead, no text or a space; one that begins with a new line has none. A merge takes place within a pre-token only."""
         space = piece_of(lead)
-        parts = [(u, (space + u,) if u.isascii() and u.isalpha() else tuple(map(piece_of, self.find(u if u[:1] == "\n" else lead + u)))) for u in units]
+        parts = [(u, (space + u,) if self.cuts and u.isascii() and u.isalpha() else tuple(map(piece_of, self.find(u if u[:1] == "\n" else lead + u)))) for u in units]
         new = list({x for _, p in parts for x in p}.difference(self.ranks))
         ids = {x: array("i", y).tobytes() for x, y in zip(new, self.model.encode(new, out_type=int, num_threads=1), strict=True)} if new else {}
         rank = self.ranks.get
         return {u: b"".join([rank(x) or ids[x] for x in p]) for u, p in parts}
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text cut before single spaces, where pre-tokens end in any case."""
+        at = 0
+        while at < len(text):
+            cut = self.space.search(text, at + BATCH_CHARS) if len(text) - at > 2 * BATCH_CHARS else None
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
+        if not self.cuts:
+            return [b"".join(self._learn({x}, "").values()) for x in texts]
+        if any(len(x) > 2 * BATCH_CHARS for x in texts):
+            return [b"".join(y for part in self._parts(x) for y in self._encode_parts([part])) for x in texts]
+        return self._encode_parts(texts)
+
+    def _encode_parts(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_UNITS:
             self.known.clear()
         cut = [self._units(x) if x else [] for x in texts]
@@ -132,6 +153,10 @@ class Codec:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_packed(self, ids: bytes) -> bytes:
+        step = 4 * BATCH_CHARS
+        return b"".join(self.decode(np.frombuffer(ids[k : k + step], np.int32).tolist()) for k in range(0, len(ids), step))
+
 
 _codecs: dict[tuple, Codec] = {}
 
@@ -175,7 +200,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 np.cumsum([len(x) >> 2 for x in out], out=offsets[1:])
                 values = np.frombuffer(b"".join(out), np.int32)
                 part = batch.slice(start, len(out))
-                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([c.decode(np.frombuffer(x, np.int32).tolist()) for x in out], pa.binary())]
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([c.decode_packed(x) for x in out], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids, decoded])
                 start += len(out)
 
@@ -183,8 +208,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select(

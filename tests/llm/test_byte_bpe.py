@@ -57,3 +57,16 @@ def test_clashing_columns(spark, docs_of):
     docs = docs_of([(1, "a b")]).withColumnRenamed("source", "ids").withColumnRenamed("lang", "decoded")
     row = encode_documents(docs, PATH, P.PATTERN).first()
     assert bytes(row.decoded) == b"a b" and len(row.ids) == 2
+
+
+def test_long_texts_and_other_patterns(reference, monkeypatch):
+    from palimpsest.llm import byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "BATCH_CHARS", 20)
+    c = Codec(load_ranks(PATH), P.PATTERN)
+    for t in texts()[-400:]:
+        assert c.encode(t) == reference.encode_ordinary(t) and c.decode_packed(c.encode_packed([t])[0]) == t.encode()
+    for pattern in (r"\S+\s*|\s+", r"[a-z ]+|[^a-z ]+"):
+        own, c = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=load_ranks(PATH), special_tokens={}), Codec(load_ranks(PATH), pattern)
+        for t in texts()[:300]:
+            assert c.encode(t) == own.encode_ordinary(t)
