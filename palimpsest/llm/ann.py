@@ -6,10 +6,14 @@ centroids, whose lists are of like size. A vector goes to its nearest centroid's
 ``REPLICAS`` centroids whose distance is at most (1 + ``SPREAD``) times the least. Centroids are found by a best-first search of a
 graph of their neighbours, held in memory. A query looks at the lists of the centroids whose distance is at most (1 + ``RATIO``)
 times the least but one, ``LEAST_LISTS`` at least. If those are more than ``MOST_LISTS``, as on vectors without clusters, it is compared
-with every vector instead, so its answer is exact. Scores are inner products in double precision of the original vectors.
+with every vector instead, so its answer is exact; with a ``most_lists`` of 0 that is so for every query. Scores are inner products in
+double precision of the original vectors.
 
-Equal vectors are one entry with its smallest ids, one more than are asked for: others can't be among the nearest. The sample is
-bounded by ``SAMPLE`` rows and so is the number of centroids; every vector is indexed. A list's task reads its vectors in blocks.
+The common length is that of the sample's ``LENGTH_QUANTILE`` if few vectors are more than twice as long: these are in a list of their
+own that every query reads, so that they don't flatten the index. Equal vectors are one entry with its smallest ids, one more than are
+asked for: others can't be among the nearest. The sample is a hundredth of the vectors, at least ``SAMPLE`` and at most ``MAX_SAMPLE``, and bounds
+the centroids; every vector is indexed. A list's task reads its vectors in blocks. Entries that tie with the last of the nearest
+are all ranked, by vec_id.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do rows with a null
 id, nor vectors of another length than the most frequent one (of equally frequent ones the shortest). Rows that repeat an id
@@ -28,13 +32,15 @@ from pyspark.sql import functions as F
 from palimpsest.llm._common import checkpoint, table
 
 #: Vectors per list, about; rows of the sample; neighbours of a centroid in the graph; entries kept in a search at least.
-LIST_ROWS, SAMPLE, DEGREE, BEAM = 200, 20_000, 24, 16
+LIST_ROWS, SAMPLE, MAX_SAMPLE, DEGREE, BEAM = 200, 20_000, 200_000, 24, 16
 REPLICAS, SPREAD, RATIO, LEAST_LISTS, MOST_LISTS = 6, 0.08, 0.35, 16, 64
 BLOCK = 4096
 #: Rows of the sample that tell how long lists are; entries in a part of a list, about; of the list of all, at least; scores at a time.
 PROBE, PART_ROWS, LEAST_ROWS, SCORES = 4000, 1 << 16, 1 << 12, 1 << 22
-#: The list of every vector once, for queries that no choice of lists serves.
-ALL = -1
+#: Vectors longer than twice this quantile of the sample's lengths are long.
+LENGTH_QUANTILE = 0.99
+#: The list of every vector once, for queries that no choice of lists serves, and the list of long vectors.
+ALL, LONG = -1, -2
 
 
 class Centroids:
@@ -44,7 +50,7 @@ class Centroids:
         self.radius = radius
         x = self.lengthened(sample)
         parts = []
-        todo = [np.arange(len(x))]
+        todo = [np.arange(len(x))] if len(x) else []
         while todo:
             part = todo.pop()
             if len(part) <= max(2.0, list_rows):
@@ -63,19 +69,22 @@ class Centroids:
         n, near = len(self.points), []
         for a in range(0, n, 512):
             d = self._distance(self.points[a : a + 512])
-            near.append(np.argsort(d, axis=1)[:, 1 : degree + 1])
+            some = np.argpartition(d, min(degree, n - 1), axis=1)[:, : degree + 1]
+            order = np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable")
+            near.append(np.take_along_axis(some, order, 1)[:, 1:])
         links = np.concatenate(near) if n > 1 else np.zeros((n, 0), np.int64)
         i = np.arange(n)
         far = np.stack([(i + 1) % max(n, 1), (i - 1) % max(n, 1), *((i * 2654435761 + s) % max(n, 1) for s in (7, 13))], axis=1)
         self.links = np.concatenate([links, far], axis=1)
 
     def lengthened(self, x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float32) / np.float32(self.radius)
+        x = (x / max(self.radius, np.finfo(np.float64).tiny)).astype(np.float32)
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
 
     @staticmethod
     def direction(q: np.ndarray) -> np.ndarray:
         """A query, whose length doesn't matter, in the lengthened space."""
+        q = q / np.abs(q).max(axis=1, keepdims=True)
         q = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
         return np.concatenate([q, np.zeros((len(q), 1), np.float32)], axis=1)
 
@@ -121,15 +130,15 @@ class Centroids:
         row, col = np.nonzero(good)
         return row, ids[row, col]
 
-    def ask(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ask(self, x: np.ndarray, ratio: float = RATIO, least: int = LEAST_LISTS, most: int = MOST_LISTS) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) that queries read: those within the ratio, or ALL where these are too many.
 
         The ratio is to the least distance but one: the centroid of a query's own list is a mean of few vectors, maybe the query among them.
         """
-        ids, dist = self.search(x, MOST_LISTS + 1)
-        good = (dist <= dist[:, : min(2, dist.shape[1])].max(axis=1, keepdims=True) * (1 + RATIO)) | (np.arange(ids.shape[1]) < LEAST_LISTS)
+        ids, dist = self.search(x, most + 1)
+        good = (dist <= dist[:, : min(2, dist.shape[1])].max(axis=1, keepdims=True) * (1 + ratio)) | (np.arange(ids.shape[1]) < least)
         good &= np.isfinite(dist)
-        many = good.sum(axis=1) > MOST_LISTS
+        many = good.sum(axis=1) > most
         row, col = np.nonzero(good & ~many[:, None])
         return np.concatenate([row, np.flatnonzero(many)]), np.concatenate([ids[row, col], np.full(many.sum(), ALL)])
 
@@ -194,28 +203,55 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> Iterator[tuple[int, int, float]]:
-    """(query, id, score) of each query's k nearest among the entries."""
-    rough = q @ x.T
-    n = min(len(x), k + 5)  # entries may hold the query itself; a few more make up for the product's rounding
-    for i, top in enumerate(np.argpartition(-rough, n - 1, axis=1)[:, :n]):
-        exact = (q[i] * x[top]).sum(axis=1)
-        found = sorted((-s, v) for s, t in zip(exact.tolist(), top.tolist(), strict=True) for v in ids[t] if v != qid[i])[:k]
+    """(query, id, score) of each query's k nearest among the entries, ties to smaller ids."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = np.nan_to_num(q @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        n = min(len(x), k + 1)  # one of the entries may be the query alone
+        last = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
+        # twice what the products' rounding may be: whoever is as near as the last is above
+        slack = 4 * q.shape[1] * np.finfo(np.float64).eps * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
+        floor = np.where(np.isfinite(last - slack), last - slack, np.where(last == np.inf, np.finfo(np.float64).max, -np.inf))
+    smallest = np.array([own[0] for own in ids])
+    for i in range(len(q)):
+        top = np.flatnonzero(rough[i] >= floor[i])
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.nan_to_num((q[i] * x[top]).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        best = np.lexsort((smallest[top], -exact))[: k + 1]
+        found = sorted((-s, v) for s, t in zip(exact[best].tolist(), top[best].tolist(), strict=True) for v in ids[t] if v != qid[i])[:k]
         for s, v in found:
             yield int(qid[i]), v, -s
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding", list_rows: int = LIST_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest other vectors. queries: a condition on vec_id."""
+def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding", list_rows: int = LIST_ROWS, replicas: int = REPLICAS, ratio: float = RATIO, least_lists: int = LEAST_LISTS, most_lists: int = MOST_LISTS) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest other vectors.
+
+    :param queries: a condition on vec_id
+    :param replicas: lists that a vector near a boundary may be in
+    :param ratio: of a list's distance to the least that a query reads
+    :param least_lists: lists that a query reads in any case
+    :param most_lists: a query that would read more is compared with every vector; 0: each is
+    """
     spark = vectors.sparkSession
     rows = checkpoint(valid_vectors(vectors, vector))
     entries = checkpoint(distinct_vectors(rows, k + 1))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    count, radius = entries.agg(F.count("*"), F.max(norm)).first()
-    sample = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow() if count else None
+    count, longest = entries.agg(F.count("*"), F.max(norm)).first()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.array(sample["v"].to_pylist(), np.float64)
-    index = Centroids(x, radius, max(2.0, list_rows * len(x) / count))
+    # by a hash below a threshold first, so that no task sorts more than a few times the sample
+    wanted = min(MAX_SAMPLE, max(SAMPLE, count // 100))
+    some = entries.select("v").filter(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 30)) < min(1 << 30, (wanted + wanted // 4 << 30) // count))
+    x = np.array(some.orderBy(F.xxhash64("v"), "v").limit(wanted).toArrow()["v"].to_pylist(), np.float64)
+    with np.errstate(over="ignore"):
+        lengths = np.sqrt((x * x).sum(axis=1))
+    usual = 2 * float(np.quantile(lengths, LENGTH_QUANTILE, method="lower"))
+    radius, n_long = (longest, 0) if longest <= usual else (usual, entries.filter(norm > usual).count())
+    if not np.isfinite(radius):  # nearly all are that long: no index, everything is compared
+        radius, n_long = 0.0, count
+    x = x[lengths <= radius] if n_long else x
+    index = Centroids(x, radius, max(2.0, list_rows * len(x) / max(1, count - n_long)))
+    if not len(x):
+        most_lists = 0
     shared = spark.sparkContext.broadcast(index)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +259,12 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                row, centroid = c.ask(c.direction(_matrix(part.column(1))))
+                if most_lists:
+                    row, centroid = c.ask(c.direction(_matrix(part.column(1))), ratio, least_lists, most_lists)
+                    if n_long:  # whoever reads every vector reads the long ones there
+                        row, centroid = np.concatenate([row, np.unique(row[centroid != ALL])]), np.concatenate([centroid, np.full(len(np.unique(row[centroid != ALL])), LONG)])
+                else:
+                    row, centroid = np.arange(part.num_rows), np.full(part.num_rows, ALL)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(centroid.astype(np.int32)), part.column(0).take(at), part.column(1).take(at), pa.nulls(len(row), pa.list_(pa.int64()))], names=["list", "query", "v", "ids"])
 
@@ -231,17 +272,24 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
     asks = checkpoint(rows.filter(queries).select("vec_id", "v").mapInArrow(ask, schema))
     # vectors are posted to lists that are asked for; a row per centroid at most
     asked = {x[0] for x in asks.select("list").distinct().collect()}
-    every, some_lists = ALL in asked, np.isin(np.arange(len(index.points)), list(asked))
+    every, apart, some_lists = ALL in asked, LONG in asked, np.isin(np.arange(len(index.points)), list(asked))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                row, centroid = np.empty(0, np.int64), np.empty(0, np.int64)
-                if some_lists.any():
-                    row, centroid = c.choose(c.lengthened(_matrix(part.column(0))), SPREAD, 1, REPLICAS)
-                    row, centroid = row[some_lists[centroid]], centroid[some_lists[centroid]]
+                row, centroid, v = np.empty(0, np.int64), np.empty(0, np.int64), _matrix(part.column(0))
+                usual = np.arange(len(v))
+                if n_long:
+                    with np.errstate(over="ignore"):
+                        over = (v * v).sum(axis=1) > c.radius * c.radius
+                    usual = np.flatnonzero(~over)
+                if some_lists.any() and len(usual):
+                    row, centroid = c.choose(c.lengthened(v[usual]), SPREAD, 1, replicas)
+                    row, centroid = usual[row[some_lists[centroid]]], centroid[some_lists[centroid]]
+                if apart and n_long:
+                    row, centroid = np.concatenate([row, np.flatnonzero(over)]), np.concatenate([centroid, np.full(over.sum(), LONG)])
                 if every:
                     row, centroid = np.concatenate([row, np.arange(part.num_rows)]), np.concatenate([centroid, np.full(part.num_rows, ALL)])
                 at = pa.array(row)
@@ -252,11 +300,10 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
     found = np.zeros(len(index.points))
     if some_lists.any():
         some = x[:PROBE]
-        found = np.bincount(index.choose(index.lengthened(some), SPREAD, 1, REPLICAS)[1], minlength=len(index.points)) * (count / len(some))
+        found = np.bincount(index.choose(index.lengthened(some), SPREAD, 1, replicas)[1], minlength=len(index.points)) * ((count - n_long) / len(some))
     split = [(int(c), int(n)) for c, n in enumerate(np.ceil(found / PART_ROWS)) if n > 1]
-    if every:
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        split.append((ALL, max(-(-count // PART_ROWS), min(tasks, -(-count // LEAST_ROWS)))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split += [(c, max(-(-n // PART_ROWS), min(tasks, -(-n // LEAST_ROWS)))) for c, n in ((ALL, count if every else 0), (LONG, n_long if apart else 0)) if n]
     n_parts = F.lit(1)
     if split:  # a row per centroid at most
         many = F.broadcast(spark.createDataFrame(split, "list int, parts int"))

@@ -82,3 +82,35 @@ def test_no_cap_on_vectors_without_clusters(spark):
     out = nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 80 == 0, 20, list_rows=8).collect()
     want = brute(rows, 20, lambda i: i % 80 == 0)
     assert {q: [v for v, _ in f] for q, f in want.items()} == {q: [a.vec_id for a in sorted(out, key=lambda a: a["rank"]) if a.query_id == q] for q in want}
+
+
+@pytest.mark.parametrize("list_rows", [200, 5])
+def test_ties_go_to_smaller_ids(spark, list_rows):
+    """Different vectors of equal score: the ids decide, however many they are."""
+    rows = [(i, [1.0, float(i), 0.0]) for i in range(1, 200)] + [(0, [5.0, 0.0, 0.0]), (1000, [0.5, 0.0, 3.0])]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    out = nearest(frame, F.col("vec_id") == 0, 20, list_rows=list_rows, most_lists=0).collect()
+    assert [a.vec_id for a in sorted(out, key=lambda a: a["rank"])] == list(range(1, 21)) and {a.score for a in out} == {5.0}
+
+
+def test_long_vectors_do_not_flatten_the_index(spark):
+    r = np.random.default_rng(7)
+    centers = r.normal(size=(12, 24))
+    x = centers[r.integers(0, 12, 3000)] + 0.5 * r.normal(size=(3000, 24))
+    x[17] *= 1e5
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    out = nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0, 20, list_rows=20).collect()
+    want = brute(rows, 20, lambda i: i % 20 == 0)
+    got = {}
+    for a in out:
+        got.setdefault(a.query_id, set()).add(a.vec_id)
+    assert np.mean([len(got[q] & {v for v, _ in f}) / 20 for q, f in want.items()]) > 0.93
+    assert all((17 in {v for v, _ in f}) == (17 in got[q]) for q, f in want.items())
+
+
+def test_lengths_beyond_double_precision(spark):
+    rows = [(i, [1.0, float(i % 7), 2.0], 0) for i in range(60)] + [(100, [1e200, 1.0, 1.0], 0), (120, [-1e200, 1.0, 1.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = nearest(frame, F.col("vec_id") % 20 == 0, 3).collect()
+    first = {a.query_id: a.vec_id for a in out if a["rank"] == 1}
+    assert len(out) == 5 * 3 and all(first[q] == 100 for q in (0, 20, 40)) and 120 not in {a.vec_id for a in out if a.query_id < 60}
