@@ -7,16 +7,19 @@ within one bit of any pattern, times all patterns of the block's other bits. A f
 most ``RADIUS`` = 1 bit away; a copy goes to every anchor within RADIUS plus the block's threshold. So a pair that is close in a
 block meets at the home of either. Only homes are compared with copies, once per anchor, on all 64 bits.
 
-Equal fingerprints are one row before anything else. Anchors with more than ``HOME_ROWS`` homes are split: their homes are
-dealt into parts and copies go to each part. A task returns a spanning forest of the links it found, never all pairs.
+Equal fingerprints are one row before anything else. Anchors with more than ``HOME_ROWS`` homes are split into a grid: homes are
+dealt into rows, copies into columns, and each cell compares its own. A task returns a spanning forest of the links it found, never
+all pairs.
 
 Defined results: null, empty and blank texts have fingerprint 0, which is linked like any other. Rows with equal doc_id are
-kept; a null doc_id takes part but names no component, and one of nulls alone has a null component_id. An empty table gives
-an empty result. Other columns of the input aren't looked at.
+kept; a null doc_id takes part but names no component, and one of nulls alone has a null component_id. A bit that is 1 in exactly
+half the hashes is 0. Of long texts every word counts, a block of ``BLOCK`` bytes at a time. An empty table gives an empty
+result. Other columns of the input aren't looked at.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,22 +41,48 @@ CHECKS = tuple(sum(1 << (p - 1) for p in range(1, CODE_BITS + 1) if p >> k & 1)
 #: Homes of an anchor that are compared in one part; split anchors that may be broadcast; pairs compared at a time.
 HOME_ROWS, BROADCAST_ANCHORS, PAIRS = 4096, 10_000, 1 << 20
 _HASHES = 1 << 16
+#: Bytes of a text that are split into words at a time, about.
+BLOCK = 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _blocks(text: bytes) -> Iterator[bytes]:
+    """The text in blocks that end between words."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+        end = cut.end() if cut else len(text)
+        yield text[at:end] if end - at < len(text) else text
+        at = end
 
 
 def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
     """The fingerprint of the shingles of a UTF-8 text's words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased."""
-    words = text.lower().split()
-    if not words:
-        return 0
+    ones, total, held = np.zeros(64, np.int64), 0, []
+    for block in _blocks(text):
+        words = held + block.lower().split()
+        held = words[max(0, len(words) - width + 1) :]
+        if len(words) >= width:
+            ones += _ones(words, width, seed)
+            total += len(words) - width + 1
+    if not total:
+        if not held:
+            return 0
+        ones, total = _ones(held, len(held), seed), 1
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+
+
+def _ones(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """For each bit, in how many of the shingles' hashes it is 1."""
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - width + 1)
+    n = len(words) - width + 1
     starts, ends, h = starts[:n].tolist(), ends[-n:].tolist(), xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    out = np.zeros(64, np.int64)
     for k in range(0, n, _HASHES):
         hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts[k : k + _HASHES], ends[k : k + _HASHES], strict=True)], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        out += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return out
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -111,19 +140,19 @@ def copies(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return fps.select(F.explode(every).alias("c"), "fp").select("c.anchor", "fp", "c.home")
 
 
-def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, copy: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the homes and the copies of each anchor; rows are sorted by anchor."""
     a, b, held = [], [], 0
-    own = np.flatnonzero(home)
-    low, high = np.searchsorted(anchor, anchor[own]), np.searchsorted(anchor, anchor[own], "right")
+    own_anchor, own_fp = anchor[home], fp[home]
+    anchor, fp = anchor[copy], fp[copy]
+    low, high = np.searchsorted(anchor, own_anchor), np.searchsorted(anchor, own_anchor, "right")
     upto = np.concatenate([[0], np.cumsum(high - low)])
     k = 0
-    while k < len(own):
+    while k < len(own_fp):
         end = max(k + 1, int(np.searchsorted(upto, upto[k] + PAIRS, "right")) - 1)
         n = high[k:end] - low[k:end]
-        left = np.repeat(own[k:end], n)
         right = np.arange(int(n.sum())) - np.repeat(upto[k:end] - upto[k] - low[k:end], n)
-        x, y = fp[left], fp[right]
+        x, y = np.repeat(own_fp[k:end], n), fp[right]
         near = (np.bitwise_count(x ^ y) <= distance) & (x != y)
         if near.any():
             x, y = local_stars(x[near], y[near])
@@ -139,20 +168,23 @@ def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int
 
 def links(fps: DataFrame, distance: int = DISTANCE, home_rows: int = HOME_ROWS, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """(a, b): links of different fingerprints that connect all those within the distance. fps: (fp), each once."""
+    # a fingerprint becomes dozens of copies: that many tasks, however few bytes the fingerprints themselves are
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     hot = homes(fps).groupBy("anchor").count().filter(F.col("count") > home_rows).select("anchor", F.ceil(F.col("count") / home_rows).cast("int").alias("parts"))
     rows, found = copies(fps, distance), hot.limit(broadcast_anchors + 1).collect()
     if found:
         bounded = F.broadcast(fps.sparkSession.createDataFrame(found, hot.schema)) if len(found) <= broadcast_anchors else hot
-        rows = rows.join(bounded, "anchor", "left")
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        every = F.sequence(F.lit(0), F.col("parts") - 1)
-        rows = rows.select("anchor", "fp", F.col("home"), F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(every)).alias("part"), F.coalesce(part, F.lit(0)).alias("own"))
-        rows = rows.select("anchor", "part", "fp", (F.col("home") & (F.col("part") == F.col("own"))).alias("home"))
+        n = F.coalesce("parts", F.lit(1))
+        own, every = F.pmod(F.xxhash64("fp"), n).cast("int"), F.sequence(F.lit(0), n - 1)
+        # cell i * parts + j holds the homes of row i and the copies of column j; a home is a copy, too, in its own column
+        column = F.transform(every, lambda i: F.struct((i * n + own).alias("part"), (F.col("home") & (i == own)).alias("home"), F.lit(True).alias("copy")))
+        row = F.transform(F.filter(every, lambda j: F.col("home") & (j != own)), lambda j: F.struct((own * n + j).alias("part"), F.lit(True).alias("home"), F.lit(False).alias("copy")))
+        rows = rows.join(bounded, "anchor", "left").select("anchor", "fp", F.explode(F.concat(column, row)).alias("x"))
+        rows = rows.select("anchor", "x.part", "fp", "x.home", "x.copy")
     else:
-        rows = rows.select("anchor", F.lit(0).alias("part"), "fp", "home")
+        rows = rows.select("anchor", F.lit(0).alias("part"), "fp", "home", F.lit(True).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
         a, b, held = [], [], 0
 
         def settle(cut: tuple[np.ndarray, ...]) -> None:
@@ -169,7 +201,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, home_rows: int = HOME_ROWS,
         for batch in batches:
             # the part is folded into the anchor's free high bits
             key = batch.column(0).to_numpy() | batch.column(1).to_numpy().astype(np.int64) << 36
-            pending.append((key, batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False)))
+            pending.append((key, batch.column(2).to_numpy().view(np.uint64), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))))
             if key[0] == key[-1] and (len(pending) == 1 or pending[0][0][0] == key[0]):
                 continue  # one anchor so far
             whole = tuple(np.concatenate(x) for x in zip(*pending, strict=True))
@@ -194,7 +226,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", distance: int = DISTANC
     each = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(each.select("fp"), distance, home_rows))
     named = each.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # a written table on either side lets Spark split the rows of a large component
+    least = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id")))
     named = checkpoint(named.select("fp", "component").join(least, "component").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 

@@ -104,3 +104,12 @@ def test_query(spark, docs_of, sf_dir):
     with pytest.raises(ValueError):
         near_duplicates(docs, distance=6)
     assert simhash.RADIUS == 1
+
+
+def test_fingerprint_of_long_texts(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    r = random.Random(12)
+    for n in (1, 3, 4, 5, 400):
+        t = " ".join("".join(r.choice("abcD") for _ in range(r.randrange(1, 9))) for _ in range(n)) + " " * r.randrange(3)
+        assert fingerprint(t.encode()) == plain(t)
+    assert fingerprint((" " * 300).encode()) == 0 and fingerprint(("q" * 300).encode()) == plain("q" * 300)
