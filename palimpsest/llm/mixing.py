@@ -12,8 +12,9 @@ Everything runs on DataFrame functions. The order within a source is that of a d
 buckets of that digest and over the buckets' totals, so no task holds a whole source.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``; null and blank texts have size 0, are never taken and have no position.
-Rows with equal doc_id are further ordered by size, equal ones are interchangeable. A null source comes last. A document is
-taken at most ``max_repeats`` times. An empty table gives an empty result. Columns named as outputs are replaced.
+Rows with equal doc_id are further ordered by size, equal ones are interchangeable; so are copies at equal positions, which doc_id
+orders. A null source comes last. A document is taken at most ``max_repeats`` times. A long text counts by its words like any
+other. An empty table gives an empty result. Columns named as outputs are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import table
+from palimpsest.llm._common import checkpoint, table
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -86,7 +87,13 @@ def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int
     within the target: the words taken then miss the target by half a document at most.
     """
     kept = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(*(docs[c] for c in kept), count_words(docs["text"]).alias("size"))
+    return place(docs.select(*(docs[c] for c in kept), count_words(docs["text"]).alias("size")), weights, max_repeats, schedules)
+
+
+def place(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: Sequence[Sequence[float]] = SCHEDULES) -> DataFrame:
+    """As assign, of rows that have their size."""
+    kept = [c for c in sized.columns if c not in ADDED]
+    rows = sized.select(*kept, "size")
     rows = rows.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     parts = rows.groupBy(F.col("source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_part"))
     targets = source_targets(parts.select(F.col("_s").alias("source"), F.col("_part").alias("size")), weights, max_repeats)
@@ -96,7 +103,7 @@ def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int
     within = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_start", F.col("_before") + F.sum("size").over(within) - F.col("size"))
     starts = [F.col("_start") + r * F.col("source_size") for r in range(max_repeats)]
-    times = [F.element_at(F.array(*(_time_of(s / F.col("target"), x) for x in schedules)), F.col("slot") % len(schedules) + 1) for s in starts]
+    times = [F.element_at(F.array(*(_time_of(s / F.nullif(F.col("target"), F.lit(0.0)), x) for x in schedules)), F.col("slot") % len(schedules) + 1) for s in starts]
     positions = F.array(*(F.when((F.col("size") > 0) & (s + F.col("size") / 2.0 <= F.col("target")), t) for s, t in zip(starts, times, strict=True)))
     rows = rows.withColumn("positions", F.array_compact(positions))
     return rows.withColumn("taken", F.col("size") * F.size("positions")).select(*kept, *ADDED)
@@ -107,8 +114,18 @@ def curriculum(assigned: DataFrame) -> DataFrame:
     return assigned.withColumn("position", F.explode("positions")).drop("positions").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def by_position(assigned: DataFrame) -> DataFrame:
+    """A row per document, range-partitioned and sorted by position, the time of its first copy; last_position is that of the last."""
+    first, last = F.get("positions", F.lit(0)), F.get("positions", F.size("positions") - 1)
+    keys = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return assigned.withColumns({"position": first, "last_position": last}).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    # words are counted once; what follows reads a few bytes a document
+    sized = checkpoint(docs.select("doc_id", "source", count_words(docs["text"]).alias("size")))
+    return by_position(place(sized)).select("doc_id", "size", "source_size", "target", "taken", "position", "last_position")
 
 
 OP8_SQL = r"""
@@ -122,12 +139,21 @@ l AS (
   SELECT *, CAST((SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER (ORDER BY cap / w, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
     / sum(w) OVER (ORDER BY cap / w, slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 g AS (SELECT level AS chosen FROM l WHERE level * w <= cap ORDER BY cap / w, slot LIMIT 1),
-t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), chosen * w) AS target FROM w, g),
+t AS (SELECT source, source_size, slot, least(CAST(cap AS DOUBLE), chosen * w) AS target FROM w, g),
 c AS (
-  SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS start FROM d)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
-  size * (CASE WHEN start + size / 2.0::DOUBLE <= target THEN 1 ELSE 0 END
-        + CASE WHEN start + source_size + size / 2.0::DOUBLE <= target THEN 1 ELSE 0 END
-        + CASE WHEN start + 2 * source_size + size / 2.0::DOUBLE <= target THEN 1 ELSE 0 END) END AS BIGINT) AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+  SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS start FROM d),
+n AS (
+  SELECT doc_id, size, source_size, target, slot, start, CASE WHEN size = 0 THEN 0 ELSE
+    CASE WHEN start + size / 2.0::DOUBLE <= target THEN 1 ELSE 0 END
+    + CASE WHEN start + source_size + size / 2.0::DOUBLE <= target THEN 1 ELSE 0 END
+    + CASE WHEN start + 2 * source_size + size / 2.0::DOUBLE <= target THEN 1 ELSE 0 END END AS copies
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+p AS (
+  SELECT *, CASE WHEN copies > 0 THEN CAST(start AS DOUBLE) / target END AS a, CASE WHEN copies > 0 THEN CAST(start + (copies - 1) * source_size AS DOUBLE) / target END AS b FROM n)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+  CASE WHEN copies > 0 THEN least(1.0::DOUBLE, CASE slot % 3 WHEN 0 THEN a WHEN 1 THEN 1.5::DOUBLE - sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2.0::DOUBLE * a))
+    ELSE sqrt(greatest(0.0::DOUBLE, 0.25::DOUBLE + 2.0::DOUBLE * a)) - 0.5::DOUBLE END) END AS position,
+  CASE WHEN copies > 0 THEN least(1.0::DOUBLE, CASE slot % 3 WHEN 0 THEN b WHEN 1 THEN 1.5::DOUBLE - sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2.0::DOUBLE * b))
+    ELSE sqrt(greatest(0.0::DOUBLE, 0.25::DOUBLE + 2.0::DOUBLE * b)) - 0.5::DOUBLE END) END AS last_position
+FROM p
 """

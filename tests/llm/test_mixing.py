@@ -52,6 +52,10 @@ def test_query(spark, docs_of, sf_dir):
     sizes = {source[x.doc_id]: x.source_size for x in out}
     assert all(abs(target[s] - v) < 1e-6 for s, v in filled(sizes, mixing.WEIGHTS).items())
     assert all(abs(per[s] - target[s]) <= largest[s] for s in per)
+    assert all((x.position is None) == (x.last_position is None) == (x.taken == 0) for x in out)
+    assert all(0 <= x.position <= x.last_position <= 1 and (x.taken > x.size) == (x.position < x.last_position) for x in out if x.taken)
+    parts = op8_mix_sources(spark, path).select("position", F.spark_partition_id().alias("p")).collect()
+    assert all(a.position <= b.position for a, b in zip(parts, parts[1:], strict=False) if a.position is not None and b.position is not None)
     assert op8_mix_sources(spark, sf_dir(documents=docs_of(rows[:0]))).count() == 0
 
 
@@ -75,3 +79,23 @@ def test_inverse_of_the_integral(spark):
     assert all(abs(integral(t) / integral(1) - s) < 2e-3 for s, t in zip(shares, got, strict=True))
     with pytest.raises(ValueError):
         _time_of(F.lit(0.5), (0.0, 0.0))
+
+
+def test_a_schedule_changes_the_order(spark, docs_of):
+    sized = docs_of([(i, "a b c", "en", "xy"[i % 2]) for i in range(200)]).select("doc_id", "source", F.lit(3).cast("long").alias("size"))
+    first = lambda schedules: {x.doc_id: x.position for x in mixing.by_position(mixing.place(sized, schedules=schedules)).collect()}
+    even, late = first([(1.0, 1.0)]), first([(1.0, 1.0), (0.0, 1.0)])
+    assert all(even[i] == late[i] for i in range(0, 200, 2)) and all(even[i] is None or even[i] <= late[i] for i in range(1, 200, 2)) and even != late
+
+
+def test_sql(spark, docs_of, sf_dir):
+    import duckdb
+
+    r = random.Random(8)
+    rows = [(i, " ".join("w" * r.randrange(0, 30)), "en", r.choice(["a", "a", "b", "c", None])) for i in range(400)] + [(5, "x y", "en", "a"), (None, "z", "en", "b"), (900, None, "en", "empty")]
+    path = sf_dir(documents=docs_of(rows))
+    got = op8_mix_sources(spark, path)
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+        want = db.sql(mixing.OP8_SQL)
+        assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(map(str, want.select(*got.columns).fetchall()))
