@@ -8,8 +8,12 @@ whatever is wrong raises ``WarcError``.
 Of records with equal payloads of at least ``REVISIT_BYTES`` the one with the largest page_id holds the payload (response); the
 others point at it (revisit) and keep the HTTP header only, whose Content-Length is the full payload's.
 
+Every archive has a dictionary: one trained on sample records, or where these are too few or too alike to train on, their content, or a
+record without payload.
+
 Defined results: a null payload is empty, a null url has no Target-URI. A null page_id is smaller than any other; rows that share
-the largest page_id and the payload are all responses. An empty table gives an empty result. Other columns aren't looked at.
+the largest page_id and the payload are all responses, and so are all where no page_id is known. A long payload is one record of
+one frame, held in memory as a whole. An empty table gives an empty result. Other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -49,11 +53,25 @@ class Record(NamedTuple):
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A dictionary from sample records; empty if they are too few or too alike."""
+    """A dictionary from sample records; if they are too few or too alike, the records themselves, as content without a header."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) > 7 else b""
+        if len(samples) > 7:
+            return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        pass
+    return (b"".join(samples) or record(None, None, b"", "0" * 40))[:size]
+
+
+def dictionary_sample(pages: DataFrame) -> list[bytes]:
+    """Records of some different pages, the same at every run; only these pages' texts are gathered. pages: (page_id, url, html)."""
+    short = pages.filter(F.octet_length("html") <= SAMPLE_CHARS)
+    # of few bytes each, first those below a threshold, then the first of these
+    keys = short.select(F.xxhash64("page_id", "url", F.octet_length("html")).alias("key"))
+    share = 4 * SAMPLE_PAGES / max(1, pages.count())
+    some = keys.filter(F.pmod("key", F.lit(1 << 30)) < min(1 << 30, int(share * (1 << 30)))).distinct().orderBy("key").limit(SAMPLE_PAGES).collect()
+    chosen = short.withColumn("key", F.xxhash64("page_id", "url", F.octet_length("html"))).filter(F.col("key").isin([x.key for x in some]))
+    rows = chosen.groupBy("key").agg(F.min(F.struct("page_id", "url", "html")).alias("x")).orderBy("key").select("x.*").collect()
+    return [record(x.page_id, x.url, x.html.encode(), "0" * 40) for x in rows]
 
 
 def _urn(page: int | None, payload_digest: str) -> bytes:
@@ -182,8 +200,7 @@ def references(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) -> DataFrame:
     """Writes all pages (page_id, url, html); (path, records) of the archives, kept in the checkpoint folder."""
     pages = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    sample = pages.filter(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()
-    dictionary = train_dictionary([record(x.page_id, x.url, x.html.encode(), "0" * 40) for x in sample])
+    dictionary = train_dictionary(dictionary_sample(pages))
     back = references(pages, least)
     rows = pages.withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
     rows = rows.join(back.withColumnRenamed("digest", "_digest").distinct(), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("_digest")), "left")

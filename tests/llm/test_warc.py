@@ -83,3 +83,18 @@ def test_pages_without_ids_keep_their_payload(spark, sf_dir):
     out = op9_warc(spark, sf_dir(pages=spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
     kinds = sorted((x[1], x[2], x[3], x[4]) for x in out if x[3] == "response")
     assert kinds == sorted([(1200, sha(b"n" * 1200), "response", None)] * 2 + [(1200, sha(b"m" * 1200), "response", None)])
+
+
+@pytest.mark.parametrize("pages", [[(1, "u", "short")], [(i, "u", "same text " * 9) for i in range(40)], [(1, "u", "long " * 9000)]])
+def test_small_archives_have_a_dictionary(spark, tmp_path, pages):
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for x in warc.write_archives(frame, f"file://{tmp_path}/w").collect():
+        with open(x.path, "rb") as f:
+            data = f.read()
+        assert struct.unpack_from("<I", data)[0] == warc.DICT_MAGIC and len(list(read_archive(io.BytesIO(data)))) == x.records
+
+
+def test_the_sample_is_small_and_the_same(spark):
+    frame = spark.createDataFrame([(i % 3000, "u", "p" * (i % 50)) for i in range(6000)] + [(None, "u", "n")] * 3000, "page_id long, url string, html string")
+    a = warc.dictionary_sample(frame)
+    assert 100 < len(a) <= warc.SAMPLE_PAGES and a == warc.dictionary_sample(frame.repartition(7)) and len(set(a)) == len(a)
