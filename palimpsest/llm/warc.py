@@ -64,14 +64,14 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 
 def dictionary_sample(pages: DataFrame) -> list[bytes]:
     """Records of some different pages, the same at every run; only these pages' texts are gathered. pages: (page_id, url, html)."""
-    short = pages.filter(F.octet_length("html") <= SAMPLE_CHARS)
-    # of few bytes each, first those below a threshold, then the first of these
-    keys = short.select(F.xxhash64("page_id", "url", F.octet_length("html")).alias("key"))
-    share = 4 * SAMPLE_PAGES / max(1, pages.count())
-    some = keys.filter(F.pmod("key", F.lit(1 << 30)) < min(1 << 30, int(share * (1 << 30)))).distinct().orderBy("key").limit(SAMPLE_PAGES).collect()
-    chosen = short.withColumn("key", F.xxhash64("page_id", "url", F.octet_length("html"))).filter(F.col("key").isin([x.key for x in some]))
-    rows = chosen.groupBy("key").agg(F.min(F.struct("page_id", "url", "html")).alias("x")).orderBy("key").select("x.*").collect()
-    return [record(x.page_id, x.url, x.html.encode(), "0" * 40) for x in rows]
+    key = F.xxhash64("page_id", "url")
+    # of few bytes each, first those below a threshold, then the first of these; twice as many as wanted, for some pages are long
+    share = 8 * SAMPLE_PAGES / max(1, pages.count())
+    keys = pages.select(key.alias("key")).filter(F.pmod("key", F.lit(1 << 30)) < min(1 << 30, int(share * (1 << 30))))
+    some = [x.key for x in keys.distinct().orderBy("key").limit(2 * SAMPLE_PAGES).collect()]
+    short = pages.withColumn("key", key).filter(F.col("key").isin(some) & (F.octet_length("html") <= SAMPLE_CHARS))
+    rows = short.groupBy("key").agg(F.min(F.struct("page_id", "url", "html")).alias("x")).collect()
+    return [record(x.page_id, x.url, x.html.encode(), "0" * 40) for _, x in sorted(rows, key=lambda r: r.key)[:SAMPLE_PAGES]]
 
 
 def _urn(page: int | None, payload_digest: str) -> bytes:
