@@ -2,6 +2,8 @@
 
 Each round lets every node's larger neighbours, then its smaller ones, point at its smallest neighbour (large star and small
 star); the number of rounds grows with the logarithm of the number of nodes. A round's links go to the checkpoint folder.
+The least neighbour of each node is broadcast if there are ``BROADCAST_LINKS`` links at most, a pair of nodes each, so that no task
+gets all links of a large component; more are written as a table, which lets Spark split these.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._common import checkpoint
 
-MAX_ROUNDS = 60
+MAX_ROUNDS, BROADCAST_LINKS = 60, 1 << 18
 
 
 def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,14 +37,16 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links: (a, b) with a > b. Large: neighbours over a node; small: its neighbours below it and itself."""
+def _star(links: DataFrame, large: bool, few: bool) -> DataFrame:
+    """links: (a, b) with a > b. Large: neighbours over a node; small: its neighbours below it and itself. few: they may be broadcast."""
     both = links.select("a", "b")
     if large:
         both = both.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m"))
     if large:
         low = low.withColumn("m", F.least("a", "m"))
+    low = F.broadcast(low) if few else checkpoint(low)
+    if large:
         out = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = both.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
@@ -57,8 +61,9 @@ def components(links: DataFrame) -> DataFrame:
     kind = links.schema["a"].dataType
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, seen = checkpoint(links), None
+    few = links.count() <= BROADCAST_LINKS  # a round never makes more of them
     for _ in range(MAX_ROUNDS):
-        links = checkpoint(_star(_star(links, True), False))
+        links = checkpoint(_star(_star(links, True, few), False, few))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return links.select(F.col("a").cast(kind).alias("node"), F.col("b").cast(kind).alias("component"))

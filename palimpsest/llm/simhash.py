@@ -220,9 +220,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, home_rows: int = HOME_ROWS,
 
 def near_duplicates(docs: DataFrame, text: str = "text", distance: int = DISTANCE, width: int = WIDTH, seed: int = SEED, home_rows: int = HOME_ROWS) -> DataFrame:
     """(doc_id, fp, component_id): one row per document; components join texts whose fingerprints are linked."""
+    return grouped(checkpoint(fingerprints(docs, text, width, seed)), distance, home_rows)
+
+
+def grouped(fps: DataFrame, distance: int = DISTANCE, home_rows: int = HOME_ROWS) -> DataFrame:
+    """As near_duplicates, of a written table (doc_id, fp)."""
     if distance // len(BLOCKS) > 1:
         raise ValueError("a distance of at most 5 is covered")
-    fps = checkpoint(fingerprints(docs, text, width, seed))
     each = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(each.select("fp"), distance, home_rows))
     named = each.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -3,7 +3,9 @@
 Two sets of likeness 4/5 or more have a shingle in common among the first n - ceil(4n/5) + 1 of each, in any order that is the same
 for all texts. So these are posted, and only texts that share one are candidates, less those whose lengths, or the
 shingle's place in both, rule the likeness out. Candidates are then compared on their whole sets. Shingles that a sample
-finds often come last in the order, so that common phrases bring few texts together; the order has no effect on the result.
+finds often come last in the order, so that common phrases bring few texts together; the order has no effect on the result. Equal
+texts are one: a task posts each once. Candidates are compared where their component of candidates is: its sets go there once, and pairs
+that are connected already aren't compared. Components of more than ``TOGETHER`` shingles aren't gathered; their pairs meet one by one.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a text of fewer than five words has one shingle, of all of them;
 null, empty and blank texts have none and are like no other.
@@ -18,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import checkpoint, combine, shared_dir, slices, utf8, word_hashes
+from palimpsest.llm._common import checkpoint, combine, slices, utf8, word_hashes
 from palimpsest.llm.components import components
-from palimpsest.llm.simhash import keep_one, row_key
+from palimpsest.llm.simhash import fingerprints, grouped, row_key
 
 WIDTH = 5
 #: Rows of the sample, about; shingles it may put last; pairs made at a time; rows that may be broadcast.
-SAMPLE, MOST_COMMON, PAIRS, BROADCAST_ROWS = 20_000, 1 << 18, 1 << 20, 100_000
+SAMPLE, MOST_COMMON, PAIRS, BROADCAST_ROWS = 10_000, 1 << 18, 1 << 20, 1 << 20
+#: Shingles of a component of candidates that are compared in one place.
+TOGETHER = 1 << 22
 
 
 def shingles(texts: list[bytes], common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +55,8 @@ def shingles(texts: list[bytes], common: tuple[np.ndarray, np.ndarray] | None =
     return row[new], s[new]
 
 
-def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates among rows sorted by shingle and n, the smaller id first."""
+def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Candidates among rows sorted by shingle and n, ids and lengths, the smaller id first."""
     group = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]])).astype(np.int64) << 32
     low = np.arange(1, len(n) + 1)
     high = np.maximum(low, np.searchsorted(group | n, group | n * 5 // 4, "right"))
@@ -64,15 +68,22 @@ def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray)
         a = np.repeat(np.arange(k, end), many)
         b = np.arange(len(a)) - np.repeat(upto[k:end] - upto[k] - low[k:end], many)
         good = 9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b])
-        x, y = sid[a[good]], sid[b[good]]
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+        a, b = a[good], b[good]
+        other = sid[a] > sid[b]
+        a, b = np.where(other, b, a), np.where(other, a, b)
+        both = np.unique(np.stack([sid[a], n[a], sid[b], n[b]], axis=1)[sid[a] != sid[b]], axis=0)
         if len(both):
-            yield both[:, 0], both[:, 1]
+            yield both
         k = end
 
 
+def _new(ids: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of the ids that weren't seen, which are seen from now on."""
+    return np.array([k for k, i in enumerate(ids.tolist()) if i not in seen and not seen.add(i)], np.int64)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(a, b): ids of texts that may be alike, each pair once. docs: (sid, text)."""
+    """(a, na, b, nb): ids and lengths of texts that may be alike, each pair once. docs: (sid, text); equal ids have equal texts."""
     total = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +99,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((found[order], n[order]))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            batch = batch.take(pa.array(_new(batch.column(0).to_numpy(), seen)))
             texts, sid = utf8(batch.column(1)), batch.column(0).to_numpy()
             for a, b in slices(texts):
                 row, s = shingles(texts[a:b], shared.value)
@@ -105,8 +118,8 @@ def candidates(docs: DataFrame) -> DataFrame:
             same = rows[0][1:] == rows[0][:-1]
             if same.any():
                 shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-                for a, b in _pairs(*(x[shared] for x in rows)):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                for both in _pairs(*(x[shared] for x in rows)):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(4)], names=["a", "na", "b", "nb"])
 
         for batch in batches:
             rows = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(4))
@@ -123,37 +136,102 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield from settle(tuple(np.concatenate(x) for x in zip(*pending, strict=True)))
 
     posts = docs.mapInArrow(post, "shingle long, sid long, n int, at int")
-    return posts.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(meet, "a long, b long").distinct()
+    return posts.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(meet, "a long, na long, b long, nb long").distinct()
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, to be broadcast if it has no more than so many."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def links(docs: DataFrame) -> DataFrame:
-    """(a, b): keys of the texts that are alike. docs: (key, text), each key once."""
-    docs = docs.withColumn("sid", F.xxhash64("key"))
-    pairs = checkpoint(candidates(docs.select("sid", "text")))
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+
+def links(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(a, b): links that connect the different texts that are alike, by their ids. docs: (sid, text); equal ids have equal texts."""
+    pairs = checkpoint(candidates(docs))
+    label = components(pairs.select("a", "b")).select(F.col("node").alias("sid"), F.col("component").alias("label"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("na").alias("n")), F.struct(F.col("b").alias("sid"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
+    ends = checkpoint(ends.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    sizes = checkpoint(ends.groupBy("label").agg(F.sum("n").alias("size")))
+    ends = checkpoint(ends.join(sizes, "label").select("sid", "label", (F.col("size") <= together).alias("near")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts = utf8(batch.column(2))
+            batch = batch.take(pa.array(_new(batch.column(1).to_numpy(), seen)))
+            texts = utf8(batch.column(3))
             for a, b in slices(texts):
                 row, s = shingles(texts[a:b])
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))], names=["sid", "key", "s"])
+                cut = np.cumsum(np.bincount(row, minlength=b - a))[:-1]
+                own = [x.tobytes() for x in np.split(s, cut)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(own, pa.binary())], names=["label", "a", "near", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, root = None, {}, {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
-    sets = checkpoint(docs.join(ids, "sid", "left_semi").select("sid", "key", "text").mapInArrow(run, "sid long, key string, s array<long>"))
-    one = sets.select(F.col("sid").alias("a"), F.col("key").alias("ka"), F.col("s").alias("sa"))
-    two = sets.select(F.col("sid").alias("b"), F.col("key").alias("kb"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+        for batch in batches:
+            found = []
+            for own, a, b, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if own != now:
+                    now, sets, root = own, {}, {}
+                if b is None:
+                    sets[a], root[a] = np.sort(np.frombuffer(s, np.uint64)), a
+                elif (x := find(a)) != (y := find(b)) and _alike(sets[a], sets[b]):
+                    root[max(x, y)] = min(x, y)
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = lambda k: [np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()]  # noqa: E731, B023
+            good = pa.array([_alike(x, y) for x, y in zip(read(2), read(3), strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(good)
+
+    texts = docs.join(_few(ends), "sid").select("label", F.col("sid").alias("a"), "near", "text")
+    sets = checkpoint(texts.mapInArrow(run, "label long, a long, near boolean, s binary"))
+    # each set once, however many tasks have the text
+    rows = sets.filter("near").select("label", "a", F.lit(None).cast("long").alias("b"), "s")
+    met = pairs.select("a", "b").join(ends.select(F.col("sid").alias("a"), "label", "near"), "a")
+    asked = met.filter("near").select("label", "a", "b", F.lit(None).cast("binary").alias("s"))
+    inside = rows.unionByName(asked).repartition("label").sortWithinPartitions("label", F.col("b").asc_nulls_first(), "a").mapInArrow(compare, "a long, b long")
+    far = sets.filter("not near").dropDuplicates(["a"])
+    one, two = (far.select(F.col("a").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    apart = met.filter("not near").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return inside.unionByName(apart)
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key isn't among ``gone`` (_key)."""
+    gone = checkpoint(gone)
+    if gone.count() > BROADCAST_ROWS:
+        return keyed.join(gone, "_key", "left_anti")
+    return keyed.join(F.broadcast(gone.select(F.xxhash64("_key").alias("_id"))), F.xxhash64(keyed["_key"]) == F.col("_id"), "left_anti")
 
 
 def keep_one_like(docs: DataFrame) -> DataFrame:
     """The documents that simhash.keep_one keeps, less all but the smallest doc_id of each component of texts that are alike."""
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    single = keep_one(docs)
-    single.withColumn("_key", row_key()).write.parquet(path)
-    single = spark.read.parquet(path)
-    more = components(links(single.select(F.col("_key").alias("key"), "text")))
-    return single.join(more.select(F.col("node").alias("_key")), "_key", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_key", row_key())
+    fps = checkpoint(fingerprints(keyed.select(F.col("_key").alias("doc_id"), "text")))
+    groups = checkpoint(grouped(fps).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_least")))
+    more = groups.filter("_key <> _least").select("_key").distinct()
+    left = _without(keyed, more)
+    alike = checkpoint(links(left.select(F.xxhash64("_key").alias("sid"), "text")))
+    names = groups.select("_key", F.xxhash64("_key").alias("sid")).distinct().join(alike.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
+    names = checkpoint(names)
+    linked = alike.join(names.select(F.col("sid").alias("a"), F.col("_key").alias("ka")), "a").join(names.select(F.col("sid").alias("b"), F.col("_key").alias("kb")), "b")
+    again = components(linked.select(F.col("ka").alias("a"), F.col("kb").alias("b"))).select(F.col("node").alias("_key"))
+    out = _without(keyed, more.unionByName(again))
+    # rows that are equal
+    twice = checkpoint(groups.groupBy("_key").count().filter("count > 1").select("_key"))
+    if twice.isEmpty():
+        return out.select(*docs.columns)
+    return _without(out, twice).unionByName(out.join(twice, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)

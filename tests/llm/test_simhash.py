@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from palimpsest.llm import components as components_module
 from palimpsest.llm import simhash
 from palimpsest.llm.components import components, local_stars
 from palimpsest.llm.simhash import copies, fingerprint, homes, links, near_duplicates, op2_simhash
@@ -64,7 +65,9 @@ def test_links_against_all_pairs(spark, home_rows):
         assert grouped(signed, got) == grouped(signed, want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components_module, "BROADCAST_LINKS", most)
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(300)]
     edges = chain + [(r.randrange(1000, 2000), r.randrange(1000, 2000)) for _ in range(700)] + [(5000, 6000 + i) for i in range(300)] + [(7, 7)]

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from palimpsest.llm import similar
 
@@ -30,17 +32,28 @@ def corpus():
     return texts + ["", "one two", "One  two", "one two three", None]
 
 
-def test_links_are_all_pairs(spark):
+@pytest.mark.parametrize("together", [1 << 22, 400, 0])
+def test_links_connect_all_pairs(spark, together):
     texts = corpus()
-    frame = spark.createDataFrame([(f"{i:04}", t) for i, t in enumerate(texts)], "key string, text string")
-    got = {tuple(sorted((int(x.a), int(x.b)))) for x in similar.links(frame).collect()}
-    assert got == {(i, j) for j, y in enumerate(texts) for i, x in enumerate(texts[:j]) if like(x or "", y or "")} and len(got) > 40
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, texts[i]) for i in range(0, 60, 2)], "sid long, text string")
+    got = {tuple(sorted((x.a, x.b))) for x in similar.links(frame, together).collect()}
+    want = {(i, j) for j, y in enumerate(texts) for i, x in enumerate(texts[:j]) if like(x or "", y or "")}
+    assert got <= want and len(want) > 40
+    root = list(range(len(texts)))
+    for links in (got, want):  # the second brings nothing together that the first hasn't
+        for a, b in links:
+            new = min(root[a], root[b]), max(root[a], root[b])
+            assert links is got or new[0] == new[1]
+            root = [new[0] if x == new[1] else x for x in root]
 
 
 def test_stage_leaves_no_pair(spark, docs_of):
     rows = [(i, t) for i, t in enumerate(corpus()[:100])]
+    rows += [(500 + i, rows[7][1]) for i in range(30)] + [(7, rows[7][1]), (600, None), (601, ""), (None, rows[7][1])]
     out = corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "")
     assert out.columns == docs_of(rows).columns
     left = [x.text for x in out.collect()]
+    assert left.count(None) == 1
+    left.remove(None)
     assert not any(like(x, y) for i, x in enumerate(left) for y in left[:i])
-    assert {rows[i][1] for i in range(0, 100, 5)} <= set(left)
+    assert {rows[i][1] for i in range(0, 100, 5)} <= set(left) and len(left) == len(set(left)) and "" not in left
