@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import checkpoint, table
+from palimpsest.llm._common import checkpoint, lean, table
 
 #: Vectors per list, about; rows of the sample; neighbours of a centroid in the graph; entries kept in a search at least.
 LIST_ROWS, SAMPLE, MAX_SAMPLE, DEGREE, BEAM = 200, 20_000, 200_000, 24, 16
@@ -197,9 +197,9 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.float64())), pa.array([ids], pa.list_(pa.int64()))], names=["v", "ids"])
 
-    some = rows.select("vec_id", "v").mapInArrow(fewer, "vec_id long, v array<double>")
+    some = rows.select("vec_id", "v").mapInArrow(lean(fewer), "vec_id long, v array<double>")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return some.repartition(n, "v").sortWithinPartitions("v", "vec_id").mapInArrow(gather, "v array<double>, ids array<long>")
+    return some.repartition(n, "v").sortWithinPartitions("v", "vec_id").mapInArrow(lean(gather), "v array<double>, ids array<long>")
 
 
 def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> Iterator[tuple[int, int, float]]:
@@ -269,7 +269,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(centroid.astype(np.int32)), part.column(0).take(at), part.column(1).take(at), pa.nulls(len(row), pa.list_(pa.int64()))], names=["list", "query", "v", "ids"])
 
     schema = "list int, query long, v array<double>, ids array<long>"
-    asks = checkpoint(rows.filter(queries).select("vec_id", "v").mapInArrow(ask, schema))
+    asks = checkpoint(rows.filter(queries).select("vec_id", "v").mapInArrow(lean(ask), schema))
     # vectors are posted to lists that are asked for; a row per centroid at most
     asked = {x[0] for x in asks.select("list").distinct().collect()}
     every, apart, some_lists = ALL in asked, LONG in asked, np.isin(np.arange(len(index.points)), list(asked))
@@ -296,7 +296,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(centroid.astype(np.int32)), pa.nulls(len(row), pa.int64()), part.column(0).take(at), part.column(1).take(at)], names=["list", "query", "v", "ids"])
 
     # a long list's entries in parts, each of which meets all of its queries; how long it is about, the sample tells
-    posts = entries.mapInArrow(post, schema)
+    posts = entries.mapInArrow(lean(post), schema)
     found = np.zeros(len(index.points))
     if some_lists.any():
         some = x[:PROBE]
@@ -333,7 +333,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vector: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
                 out = []
 
-    met = posts.unionByName(asks).repartition("list", "part").sortWithinPartitions("list", "part", F.col("query").asc_nulls_first()).mapInArrow(meet, "query_id long, vec_id long, score double")
+    met = posts.unionByName(asks).repartition("list", "part").sortWithinPartitions("list", "part", F.col("query").asc_nulls_first()).mapInArrow(lean(meet), "query_id long, vec_id long, score double")
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm._common import table, utf8
+from palimpsest.llm._common import lean, table, utf8
 
 #: Byte b is written as this character: visible ASCII as itself, the rest as characters that are no white space.
 BYTE_CHARS = {b: b if 0x21 <= b <= 0x7E else 0x100 + b for b in range(256)}
 #: The piece that the format demands for unknown text; no character of it stands for a byte.
 UNKNOWN = "\u2047"
 #: Units of text whose ids a Python worker keeps, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 250_000, 64
+CACHE_UNITS, CACHE_CHARS = 150_000, 64
 #: Texts of so many characters together are encoded at a time.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -204,7 +204,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids, decoded])
                 start += len(out)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

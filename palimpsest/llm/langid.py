@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import checkpoint, crc_mod, mix, table
+from palimpsest.llm._common import checkpoint, crc_mod, lean, mix, table
 
 ORDER = 5
 #: Rows per language that train, and rows of all languages together (expected numbers).
@@ -281,7 +281,7 @@ def train(rows: DataFrame) -> Identifier:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(texts, langs))], pa.binary())], names=["model"])
 
     one = rows.repartition(1).sortWithinPartitions("turn", "doc_id", "lang").select("text", "lang")
-    got = one.mapInArrow(run, "model binary").collect()
+    got = one.mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(got[0].model) if got else Identifier({})
 
 
@@ -299,7 +299,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
                 start += len(part)
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame, model: Identifier) -> DataFrame:
@@ -312,7 +312,7 @@ def drop_rejected(docs: DataFrame, model: Identifier) -> DataFrame:
             rejected = [m.predict(part)[2] for part in _chunks([x or "" for x in batch.column(at).to_pylist()], m.chunk)]
             yield batch.filter(pa.array(~np.concatenate([np.empty(0, bool), *rejected])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import CHUNK_BYTES, checkpoint, crc_mod, mix, shared_dir, slices, table, utf8, word_hash, word_hashes
+from palimpsest.llm._common import CHUNK_BYTES, checkpoint, crc_mod, lean, mix, shared_dir, slices, table, utf8, word_hash, word_hashes
 from palimpsest.llm.elias_fano import EliasFano, mapped, packed
 from palimpsest.llm.warc import filesystem
 
@@ -275,8 +275,8 @@ def train(texts: DataFrame, folder: str) -> Model:
     spark = texts.sparkSession
     bits = min(MAX_BUCKETS, max(4, texts.rdd.getNumPartitions())).bit_length()
     probe = Vocabulary(folder, bits, {}, 0)
-    rows = texts.mapInArrow(lambda b: _gathered(b, lambda t: tokens(t)[0], probe.part_of), "part int, keys binary, counts binary")
-    parts = checkpoint(rows.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(lambda b: _built(b, folder, "words", _build_words), "part int, n long, total long"))
+    rows = texts.mapInArrow(lean(lambda b: _gathered(b, lambda t: tokens(t)[0], probe.part_of)), "part int, keys binary, counts binary")
+    parts = checkpoint(rows.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(lean(lambda b: _built(b, folder, "words", _build_words)), "part int, n long, total long"))
     sizes = parts.collect()  # a row of numbers per bucket
     vocabulary = Vocabulary(folder, bits, {x.part: x.n for x in sizes}, sum(x.total for x in sizes))
     if vocabulary.size >= 1 << 32:
@@ -289,8 +289,8 @@ def train(texts: DataFrame, folder: str) -> Model:
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _built(batches, folder, "pairs", lambda k, n: (build_trie(k, _smoothed(vocabulary, k, n)), len(k), int(n.sum())))
 
-    counted = texts.mapInArrow(pairs, "part int, keys binary, counts binary")
-    built = checkpoint(counted.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(tries, "part int, n long, total long"))
+    counted = texts.mapInArrow(lean(pairs), "part int, keys binary, counts binary")
+    built = checkpoint(counted.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(lean(tries), "part int, n long, total long"))
     return Model(vocabulary, shards, {x.part for x in built.select("part").collect()})
 
 
@@ -328,7 +328,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(known), pa.array(np.full(b - a, m.vocabulary.total)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

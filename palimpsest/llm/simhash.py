@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import checkpoint, table, utf8
+from palimpsest.llm._common import checkpoint, lean, table, utf8
 from palimpsest.llm.components import components, local_stars
 
 DISTANCE, WIDTH, SEED = 4, 4, 42
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH, seed:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     source = docs.select(docs["doc_id"].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _syndrome_of(pattern: int) -> int:
@@ -215,7 +215,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, home_rows: int = HOME_ROWS,
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
     # sorted as the folded key is: by part, then anchor
-    return rows.repartition("anchor", "part").sortWithinPartitions("part", "anchor").mapInArrow(run, "a long, b long")
+    return rows.repartition("anchor", "part").sortWithinPartitions("part", "anchor").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", distance: int = DISTANCE, width: int = WIDTH, seed: int = SEED, home_rows: int = HOME_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import checkpoint, combine, slices, utf8, word_hashes
+from palimpsest.llm._common import checkpoint, combine, lean, slices, utf8, word_hashes
 from palimpsest.llm.components import components
 from palimpsest.llm.simhash import fingerprints, grouped, row_key
 
@@ -93,7 +93,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(texts[a:b])[1].view(np.int64))], names=["shingle"])
 
     some = docs.filter(F.pmod(F.xxhash64("sid"), F.lit(1 << 20)) < (SAMPLE << 20) // max(total, 1))
-    often = some.mapInArrow(count, "shingle long").groupBy("shingle").count().filter("count > 1").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+    often = some.mapInArrow(lean(count), "shingle long").groupBy("shingle").count().filter("count > 1").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
     found, n = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(found)
     shared = docs.sparkSession.sparkContext.broadcast((found[order], n[order]))
@@ -135,8 +135,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         if pending:
             yield from settle(tuple(np.concatenate(x) for x in zip(*pending, strict=True)))
 
-    posts = docs.mapInArrow(post, "shingle long, sid long, n int, at int")
-    return posts.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(meet, "a long, na long, b long, nb long").distinct()
+    posts = docs.mapInArrow(lean(post), "shingle long, sid long, n int, at int")
+    return posts.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(lean(meet), "a long, na long, b long, nb long").distinct()
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -197,15 +197,15 @@ def links(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
             yield batch.select([0, 1]).filter(good)
 
     texts = docs.join(_few(ends), "sid").select("label", F.col("sid").alias("a"), "near", "text")
-    sets = checkpoint(texts.mapInArrow(run, "label long, a long, near boolean, s binary"))
+    sets = checkpoint(texts.mapInArrow(lean(run), "label long, a long, near boolean, s binary"))
     # each set once, however many tasks have the text
     rows = sets.filter("near").select("label", "a", F.lit(None).cast("long").alias("b"), "s")
     met = pairs.select("a", "b").join(ends.select(F.col("sid").alias("a"), "label", "near"), "a")
     asked = met.filter("near").select("label", "a", "b", F.lit(None).cast("binary").alias("s"))
-    inside = rows.unionByName(asked).repartition("label").sortWithinPartitions("label", F.col("b").asc_nulls_first(), "a").mapInArrow(compare, "a long, b long")
+    inside = rows.unionByName(asked).repartition("label").sortWithinPartitions("label", F.col("b").asc_nulls_first(), "a").mapInArrow(lean(compare), "a long, b long")
     far = sets.filter("not near").dropDuplicates(["a"])
     one, two = (far.select(F.col("a").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    apart = met.filter("not near").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    apart = met.filter("not near").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")
     return inside.unionByName(apart)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import LETTER_BYTES, checkpoint, combine, slices, table, utf8, word_hash, word_hashes
+from palimpsest.llm._common import LETTER_BYTES, checkpoint, combine, lean, slices, table, utf8, word_hash, word_hashes
 
 #: The commonest words of English, French, German and Spanish.
 COMMON = (
@@ -215,7 +215,7 @@ def fingerprint_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> Data
         if part:
             yield out(part)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long")
+    return rows.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long")
 
 
 def _length_range(n: int, threshold: float) -> int:
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
             found = fingerprints(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(">u4").tobytes() for x in found], pa.binary())], names=["doc_id", "sigs"])
 
-    each = checkpoint(source.mapInArrow(sets, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, sigs binary"))
+    each = checkpoint(source.mapInArrow(lean(sets), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, sigs binary"))
     classes = checkpoint(each.groupBy("sigs").agg(F.min("doc_id").alias("class_id")))
     members = each.join(classes, "sigs").select("doc_id", "class_id")
     sized = classes.filter("class_id is not null and octet_length(sigs) > 0")
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
             good = np.flatnonzero(j >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(j[good])], names=["a", "b", "likeness"])
 
-    return members, met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, likeness double")
+    return members, met.select("a", "b", "sa", "sb").mapInArrow(lean(compare), "a long, b long, likeness double")
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import LETTER_BYTES, checkpoint, combine, crc_mod, slices, table, utf8, word_and_head_hashes
+from palimpsest.llm._common import LETTER_BYTES, checkpoint, combine, crc_mod, lean, slices, table, utf8, word_and_head_hashes
 
 BITS, HEAD = 20, 8
 #: FTRL-proximal: learning rate, its offset, L1 and L2 strengths; passes over the sample.
@@ -117,7 +117,7 @@ def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES) -> tuple[np.n
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
 
     one = rows.repartition(1).sortWithinPartitions("turn", "doc_id", F.xxhash64("text")).select("text", "label")
-    got = one.mapInArrow(run, "at long, w double").toArrow().sort_by("at")
+    got = one.mapInArrow(lean(run), "at long, w double").toArrow().sort_by("at")
     return got["at"].to_numpy(), got["w"].to_numpy()
 
 
@@ -150,7 +150,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(utf8(batch.column(1))))], names=["doc_id", "score"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
@@ -162,7 +162,7 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
         for batch in batches:
             yield batch.filter(pa.array(scores(utf8(batch.column(at))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:

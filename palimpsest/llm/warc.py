@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import checkpoint, shared_dir, table, utf8
+from palimpsest.llm._common import checkpoint, lean, shared_dir, table, utf8
 
 #: Magic numbers of the format, fixed values: the skippable frame with the dictionary, and a frame.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -225,7 +225,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
         store.move(own, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["path", "records"])
 
-    return checkpoint(rows.mapInArrow(run, "path string, records long"))
+    return checkpoint(rows.mapInArrow(lean(run), "path string, records long"))
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -253,7 +253,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if n != expected:
                     raise WarcError(f"{path} has {n} records, {expected} were written")
 
-    return archives.select("path", "records").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("path", "records").mapInArrow(lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
