@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.model import TRIPLE
+from palimpsest.operators.ranks import ranked
 
 
 def bracketed(term: Column, web_only: bool = False) -> Column:
@@ -44,16 +45,33 @@ def terms(triples: DataFrame, role: str) -> DataFrame:
 
 
 def dictionary(triples: DataFrame) -> DataFrame:
-    """(role, term, id): numbers from 1 for the terms of each role, in order.
-
-    Numbers run within leading characters first and then over these, so no task holds all terms of a role.
-    """
+    """(role, term, id): numbers from 1 for the terms of each role, in order; no task holds all terms of a role."""
     each = triples.select(F.explode(F.array(*(F.struct(F.lit(c).alias("role"), F.col(c).alias("term")) for c in TRIPLE))).alias("x")).select("x.role", "x.term").distinct()
-    each = each.withColumn("head", F.substring("term", 1, 8))
-    heads = each.groupBy("role", "head").agg(F.count("*").alias("n"))
-    heads = heads.withColumn("before", F.sum("n").over(Window.partitionBy("role").orderBy("head")) - F.col("n")).drop("n")
-    rank = F.row_number().over(Window.partitionBy("role", "head").orderBy("term"))
-    return each.join(heads, ["role", "head"]).select("role", "term", (rank + F.col("before")).alias("id"))
+    return ranked(each, "id", ["term"], ["role"]).select("role", "term", (F.col("id") + 1).alias("id"))
+
+
+def insert_terms(known: DataFrame, triples: DataFrame) -> DataFrame:
+    """A dictionary with the terms that it lacks, numbered in order after the last of their role. What it has keeps its number."""
+    new = dictionary(triples).select("role", "term").join(known, ["role", "term"], "left_anti")
+    last = known.groupBy("role").agg(F.max("id").alias("last"))  # a row per role
+    numbered = ranked(new, "id", ["term"], ["role"]).join(F.broadcast(last), "role", "left")
+    return known.select("role", "term", "id").unionByName(numbered.select("role", "term", (F.col("id") + 1 + F.coalesce("last", F.lit(0))).alias("id")))
+
+
+def encode(triples: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows with numbers for s, p and o; a term that the dictionary lacks becomes null."""
+    for c in TRIPLE:
+        own = numbers.filter(F.col("role") == c).select(F.col("term").alias(c), F.col("id").alias(f"{c}_id"))
+        triples = triples.join(own, c, "left")
+    return triples.drop(*TRIPLE).withColumnsRenamed({f"{c}_id": c for c in TRIPLE})
+
+
+def decode(encoded: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows with terms for numbers."""
+    for c in TRIPLE:
+        own = numbers.filter(F.col("role") == c).select(F.col("id").alias(c), F.col("term").alias(f"{c}_term"))
+        encoded = encoded.join(own, c, "left")
+    return encoded.drop(*TRIPLE).withColumnsRenamed({f"{c}_term": c for c in TRIPLE})
 
 
 def dictionary_stats(triples: DataFrame) -> DataFrame:

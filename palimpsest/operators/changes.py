@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import EVERYTHING, LOG_SCHEMA, TRIPLE, ArchiveError, TriplePattern
+from palimpsest.operators.ranks import ranked
 
 #: The seven pattern shapes that leave a component free, as the columns they bind.
 SHAPES = (("s", "p"), ("s", "o"), ("s",), ("p", "o"), ("p",), ("o",), ())
@@ -86,28 +87,68 @@ def contains(log: DataFrame, version: int, triples: DataFrame, typed: bool = Tru
 def positions(deletions: DataFrame) -> DataFrame:
     """Each deletion's rank, from 0, among those that agree with it in a shape's bound columns; a column of (s, p, o) per shape.
 
-    The rank among all is that within the subject after the number of deletions of smaller subjects.
+    A sort by range for each shape: neither all deletions nor those of one predicate or object are one task's.
     """
+    out = deletions.select(*TRIPLE)
+    for bound in SHAPES:
+        out = ranked(out, position_name(bound), TRIPLE, bound)
+    return out
 
-    def rank(bound: tuple[str, ...]) -> Column:
-        return (F.row_number().over(Window.partitionBy(*bound).orderBy(*TRIPLE)) - 1).cast("long")
 
-    name = lambda bound: "pos_" + "".join(c if c in bound else "_" for c in TRIPLE)
-    subjects = deletions.groupBy("s").agg(F.count("*").alias("n"))
-    subjects = subjects.select("s", (F.sum("n").over(Window.orderBy("s")) - F.col("n")).alias("before"))
-    out = deletions.select(*TRIPLE, *(rank(b).alias(name(b)) for b in SHAPES if b)).join(subjects, "s")
-    return out.select(*TRIPLE, *(name(b) for b in SHAPES if b), (F.col("pos_s__") + F.col("before")).alias(name(())))
+def position_name(bound: tuple[str, ...]) -> str:
+    return "pos_" + "".join(c if c in bound else "_" for c in TRIPLE)
 
 
-def pattern_cube(additions: DataFrame, least: int = 1) -> DataFrame:
+def _before(s: str, p: str, o: str) -> Column:
+    """Whether a triple comes before this one."""
+    return (F.col("s") < s) | ((F.col("s") == s) & ((F.col("p") < p) | ((F.col("p") == p) & (F.col("o") < o))))
+
+
+def position_of(deletions: DataFrame, s: str, p: str, o: str) -> DataFrame:
+    """One row: the rank that a triple has, or would have, among the deletions of each shape, and whether it is one. Only counts."""
+    of = {"s": s, "p": p, "o": o}
+
+    def smaller(bound: tuple[str, ...]) -> Column:
+        test = _before(s, p, o)
+        for c in bound:
+            test &= F.col(c) == of[c]
+        return F.coalesce(F.sum(test.cast("long")), F.lit(0)).cast("long").alias(position_name(bound))
+
+    found = F.coalesce(F.max((F.col("s") == s) & (F.col("p") == p) & (F.col("o") == o)), F.lit(False)).alias("is_deletion")
+    return deletions.agg(*map(smaller, SHAPES), found)
+
+
+def position_of_element(patch: DataFrame, s: str, p: str, o: str, bound: tuple[str, ...] = (), is_addition: bool | None = None) -> DataFrame:
+    """(position, found): how many elements of a patch come before this triple, of those that agree with it in the bound columns
+    and, if given, in sign; and whether the triple is among them."""
+    rows = patch if is_addition is None else patch.filter(F.col("is_addition") == is_addition)
+    for c, v in zip(TRIPLE, (s, p, o), strict=True):
+        rows = rows.filter(F.col(c) == v) if c in bound else rows
+    found = F.coalesce(F.max((F.col("s") == s) & (F.col("p") == p) & (F.col("o") == o)), F.lit(False)).alias("found")
+    return rows.agg(F.coalesce(F.sum(_before(s, p, o).cast("long")), F.lit(0)).cast("long").alias("position"), found)
+
+
+def pattern_cube(additions: DataFrame, least: int = 1, by: str | None = None) -> DataFrame:
     """(s, p, o, n): the number of additions for every pattern of the seven shapes with a free component, ``?`` there.
 
     :param least: only patterns with so many
+    :param by: a column, such as the version: counts for each of its values, and over all of them where it is null
     """
-    cube = additions.cube(*TRIPLE).agg(F.count("*").alias("n"), F.grouping_id().alias("g")).filter((F.col("g") > 0) & (F.col("n") >= least))
+    columns = [*([by] if by else []), *TRIPLE]
+    cube = additions.cube(*columns).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    cube = cube.filter((F.col("g").bitwiseAND(F.lit(7)) > 0) & (F.col("n") >= least))
     free = {"s": 4, "p": 2, "o": 1}
     shown = (F.when(F.col("g").bitwiseAND(F.lit(bit)) > 0, F.lit("?")).otherwise(F.col(c)).alias(c) for c, bit in free.items())
-    return cube.select(*shown, "n")
+    return cube.select(*([by] if by else []), *shown, "n")
+
+
+def join_patches(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A patch over another, both (s, p, o, is_addition, is_local): the newer element counts; where it turns the older one's sign it is
+    local if that one wasn't."""
+    a = old.select(*TRIPLE, F.col("is_addition").alias("_sign"), F.col("is_local").alias("_local"))
+    both = new.select(*TRIPLE, "is_addition", "is_local").join(a, TRIPLE, "full_outer")
+    local = F.when(F.col("is_addition").isNull(), F.col("_local")).when(F.col("_sign") != F.col("is_addition"), ~F.col("_local")).otherwise(F.col("is_local"))
+    return both.select(*TRIPLE, F.coalesce("is_addition", "_sign").alias("is_addition"), local.alias("is_local"))
 
 
 def overlay(patches: DataFrame, order: str = "seq") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.model import EVERYTHING, TRIPLE, TriplePattern
+from palimpsest.model import EVERYTHING, TRIPLE, ArchiveError, TriplePattern
 from palimpsest.operators.changes import change_from, net
 
 
@@ -48,16 +48,28 @@ def step_type() -> str:
     return "struct<version:int,op:int>"
 
 
-def page(result: DataFrame, offset: int = 0, limit: int | None = None, order: str = "total") -> DataFrame:
-    """Rows from an offset on, in the total order of triples; with ``reverse`` in the opposite one, with ``archive`` what the
-    snapshot has before additions.
+#: Orders of triples by the components that count first; each of them can be had in reverse.
+ORDERS = {"total": ("s", "p", "o"), "spo": ("s", "p", "o"), "pos": ("p", "o", "s"), "osp": ("o", "s", "p")}
 
-    A limit and an offset over a sort make one top-k plan; without either nothing is sorted.
+
+def keys_of(order: str) -> list:
+    """The columns that an order sorts by: a name of ORDERS, ``reverse``, such a name with ``_reverse``, or ``archive``."""
+    if order == "archive":
+        return ["section", *TRIPLE]
+    name, _, back = order.rpartition("_") if "_" in order else ("total", "", order) if order == "reverse" else (order, "", "")
+    if name not in ORDERS or back not in ("", "reverse"):
+        raise ArchiveError(f"no such order: {order}")
+    return [F.desc(c) if back else F.col(c) for c in ORDERS[name]]
+
+
+def page(result: DataFrame, offset: int = 0, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """Rows from an offset on, in the total order of triples or another; with ``archive`` what the snapshot has before additions.
+
+    A limit and an offset over a sort make one top-k plan; without either, and without an order, nothing is sorted.
     """
-    if not offset and limit is None:
+    if not offset and limit is None and order is None:
         return result.drop("section")
-    keys = {"total": TRIPLE, "archive": ["section", *TRIPLE], "reverse": [F.desc(c) for c in TRIPLE]}[order]
-    result = result.orderBy(*keys)
+    result = result.orderBy(*keys_of(order or "total"))
     if offset:
         result = result.offset(offset)
     if limit is not None and limit >= 0:
