@@ -45,6 +45,11 @@ def main() -> None:
         began = time.perf_counter()
         orders = Store(spark, f"{folder}/orders").create(workload.orders_archive(spark, sf_dir))
         times["ingest_orders"] = time.perf_counter() - began
+        began = time.perf_counter()
+        lines = Store(spark, f"{folder}/lines").create(workload.lines_archive(spark, sf_dir), ("pos", "osp"))
+        times["ingest_lines"] = time.perf_counter() - began
+        lines.compact()
+        part, li = TriplePattern(None, "part77"), lines.open()
         e, o, p, sp = events.open(), orders.open(), TriplePattern(None, "did"), TriplePattern("u5", "did")
         urgent = workload.URGENT
         asked = {
@@ -65,6 +70,10 @@ def main() -> None:
             "orders_vm_p": lambda: o.vm(5, urgent),
             "orders_dm_p": lambda: o.dm(1, 5, urgent),
             "orders_vq_p": lambda: o.vq(urgent),
+            "lines_vm_p": lambda: li.vm(5, part),
+            "lines_dm_p": lambda: li.dm(1, 5, part),
+            "lines_vq_p": lambda: li.vq(part),
+            "lines_count_vm_p": lambda: li.count_vm(5, part),
         }
         for name, f in asked.items():
             taken = []

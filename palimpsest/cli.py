@@ -4,7 +4,13 @@
     vm PATH VERSION S P O [OFFSET [LIMIT]]
     dm PATH START END S P O [OFFSET [LIMIT]]
     vq PATH S P O [OFFSET [LIMIT]]
-    rebase PATH VERSION
+    append PATH VERSION FOLDER         a version after the last: that version's changes in a folder of versions
+    prepend PATH VERSION FOLDER        a version before the first: how it differs from the first
+    snapshot PATH VERSION              materialises a version beside the other snapshots
+    rebase PATH VERSION                or instead of them
+    purge PATH VERSION                 without this version and all later ones
+    compact PATH [VERSION]             merges the steps up to a version
+    describe PATH                      every version's additions, deletions, triples and bytes
     changeset PATH FOLDER              every version's additions and deletions as N-Triples
     copy PATH TARGET
 
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from palimpsest.archive import Archive
 from palimpsest.functions.terms import delta_text, triple_text, versions_text
 from palimpsest.model import TriplePattern
-from palimpsest.sources.ntriples import write_changeset
+from palimpsest.sources.ntriples import changes_of, read_versions, write_changeset
 from palimpsest.sources.store import Store
 
 
@@ -40,8 +46,17 @@ def run(spark: SparkSession, args: list[str]) -> Iterator[str]:
 
     if command == "ingest":
         store.create(Archive.from_folder(spark, rest[0], int(rest[1]) if len(rest) > 1 else None))
-    elif command == "rebase":
-        store.rebase(int(rest[0]))
+    elif command in ("append", "prepend"):
+        version = int(rest[0])
+        raw = changes_of(read_versions(spark, rest[1])).filter(F.col("version") == version).drop("version")
+        store.append(version, raw) if command == "append" else store.prepend(version, raw)
+    elif command in ("rebase", "snapshot", "purge"):
+        getattr(store, command)(int(rest[0]))
+    elif command == "compact":
+        store.compact(int(rest[0]) if rest else None)
+    elif command == "describe":
+        text = F.concat_ws(" ", "version", F.concat(F.lit("+"), "additions"), F.concat(F.lit("-"), "deletions"), "triples", "bytes", F.when(F.col("is_snapshot"), "snapshot"))
+        yield from _lines(store.statistics().orderBy("version"), text)
     elif command == "changeset":
         write_changeset(store.open().log, rest[0])
     elif command == "copy":

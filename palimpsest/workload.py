@@ -41,6 +41,13 @@ def orders_archive(spark: SparkSession, sf_dir: str, snapshot: int = ORDERS_MIDD
     return Archive.from_presence(orders_presence(spark, sf_dir), 0, ORDERS_LAST, snapshot)
 
 
+def lines_archive(spark: SparkSession, sf_dir: str, snapshot: int = 3) -> Archive:
+    """lineitem: a version per year of shipping, 0 to 6; (order, part, flag) holds in the year of its line. Parts are many predicates."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = x.select((F.year("l_shipdate") - F.lit(1995)).alias("version"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("s"), F.concat(F.lit("part"), F.col("l_partkey")).alias("p"), F.col("l_returnflag").alias("o"))
+    return Archive.from_presence(rows.filter("version between 0 and 6").distinct(), 0, 6, snapshot)
+
+
 EVENTS = "a AS (SELECT DISTINCT CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INTEGER) AS version, concat('u', user_id) AS s, 'did' AS p, event_type AS o FROM events)"
 ORDERS = "a AS (SELECT DISTINCT CAST(year(o_orderdate) - 1995 AS INTEGER) AS version, concat('c', o_custkey) AS s, o_orderpriority AS p, o_orderstatus AS o FROM orders)"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.archive import Archive, PatchBuilder
 from palimpsest.model import ArchiveError, TriplePattern
+from palimpsest.operators import changes
 from palimpsest.operators.changes import overlay
 from palimpsest.plans.routing import clamp, nearest_snapshot
 from palimpsest.sources.ntriples import changes_in_memory, in_memory
@@ -196,3 +197,61 @@ def test_the_log_is_shuffled_once(spark, tmp_path):
         assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_no_versions_before_the_first(spark):
+    a = make(spark, ["aaa", "aab"], {1: ["-aab"], 3: ["+ccc"]}, 2)
+    for estimate in (False, True):
+        assert tuple(a.count_dm(2, -1, estimate=estimate).first()) == (0, "EXACT")
+    assert got(a.dm(2, -1)) == [] and got(a.patch(-5)) == [] and a.pattern_counts(-5).count() == 0 and a.deletion_positions(-5).count() == 0
+    assert set(got(a.patch(99))) == set(got(a.patch(3))) and a.deletion_count(0).first()[0] == 0
+
+
+def test_orders(spark):
+    a = make(spark, ["bxz", "ayz", "cxy"], {1: ["+axx", "-cxy"]})
+    assert got(a.vm(1, order="pos")) == [T("axx"), T("bxz"), T("ayz")] and got(a.vm(1, order="osp_reverse")) == [T("bxz"), T("ayz"), T("axx")]
+    assert [x[:3] for x in got(a.dm(0, 1, order="reverse"))] == [T("cxy"), T("axx")]
+    assert [x[:3] for x in got(a.vq(order="pos", limit=2))] == [T("axx"), T("cxy")]
+    with pytest.raises(ArchiveError):
+        a.vm(1, order="sop")
+
+
+def test_positions_of_one_triple(spark):
+    base = ["abc", "abd", "acc", "bbc", "bbd", "bcc"]
+    a = make(spark, base, {1: [f"-{x}" for x in base]})
+    every = {tuple(x[:3]): x for x in a.deletion_positions(1).collect()}
+    for t in base:
+        one = a.position_of(1, *T(t)).first()
+        assert one.is_deletion and all(one[c] == every[T(t)][c] for c in one.asDict() if c.startswith("pos_"))
+    gone = a.position_of(1, "a", "c", "a").first()
+    assert not gone.is_deletion and gone.pos____ == 2 and gone.pos_s__ == 2 and gone.pos__p_ == 0
+    assert [(x.s + x.p + x.o, x.position) for x in sorted(a.deletions_from(1, "a", "c", "c", TriplePattern(None, None, "c")).collect())] == [("acc", 1), ("bbc", 2), ("bcc", 3)]
+    assert tuple(a.position_of_element(1, "b", "b", "c").first()) == (3, True) and tuple(a.position_of_element(1, "b", "b", "c", ("p",), False).first()) == (2, True)
+    assert got(a.patch_from(1, "b", "b", "d").select("s", "p", "o")) == [T("bbd"), T("bcc")]
+
+
+def test_patch_over_patch(spark):
+    schema = "s string, p string, o string, is_addition boolean, is_local boolean"
+    old = spark.createDataFrame([("a", "a", "a", True, False), ("b", "b", "b", True, False), ("c", "c", "c", False, True), ("d", "d", "d", True, False)], schema)
+    new = spark.createDataFrame([("b", "b", "b", False, False), ("c", "c", "c", True, False), ("d", "d", "d", True, True), ("e", "e", "e", False, False)], schema)
+    assert {(x[0], x[3], x[4]) for x in changes.join_patches(old, new).collect()} == {("a", True, False), ("b", False, True), ("c", True, False), ("d", True, True), ("e", False, False)}
+
+
+def test_strict_appends(spark):
+    a = make(spark, ["aaa", "aab"], {1: ["-aab"]})
+    frame = lambda *rows: spark.createDataFrame([(*T(x[1:]), 1 if x[0] == "+" else -1) for x in rows], "s string, p string, o string, op int")
+    assert vm(a.append(2, frame("+aab", "-aaa"), True), 2) == {"aab"}
+    for bad in (["+aaa"], ["-aab"], ["+ccc", "+ccc"]):
+        with pytest.raises(ArchiveError):
+            a.append(2, frame(*bad), True)
+
+
+def test_ranks_of_hot_groups_need_no_single_task(spark):
+    rows = spark.range(5000).selectExpr("concat('http://x/', id) s", "'p' p", "if(id % 3 = 0, 'hot', concat('o', id % 11)) o")
+    out = changes.positions(rows)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+    got_ = sorted(map(tuple, out.select("s", "p", "o", "pos__p_", "pos___o", "pos____").collect()))
+    seen = {}
+    for i, (s, p, o, by_p, by_o, every) in enumerate(got_):
+        assert by_p == every == i and by_o == seen.get(o, 0)
+        seen[o] = seen.get(o, 0) + 1

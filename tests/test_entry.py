@@ -14,10 +14,11 @@ def test_registry():
 
 
 def test_imports_without_the_other_subpackage(monkeypatch):
-    from palimpsest import workload
+    from palimpsest import stored_workload, workload
 
     monkeypatch.setattr(__spark_entry__, "_llm", lambda: False)
-    assert __spark_entry__.queries().keys() == workload.queries().keys() == __spark_entry__.oracle_sql().keys()
+    assert __spark_entry__.queries().keys() == workload.queries().keys() | stored_workload.queries().keys() == __spark_entry__.oracle_sql().keys()
+    assert not workload.queries().keys() & stored_workload.queries().keys()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -26,17 +27,15 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["vm_backward", "dm_across", "vq_all", "count_vm", "deletion_positions", "orders_vq"])
+@pytest.mark.parametrize("name", ["vm_backward", "dm_across", "vq_all", "count_vm", "deletion_positions", "orders_vq", "dictionary", "compacted_vm_o", "two_snapshots_dm", "store_purged", "store_prepended", "files_vq", "stream_versions", "patch_over_patch", "pattern_counts_by_version"])
 def test_against_sql(spark, name):
     import duckdb
 
-    from palimpsest import workload
-
     db = duckdb.connect()
     for t in ("events", "orders"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = db.sql(workload.oracle_sql()[name])
-    got = workload.queries()[name](spark, SF)
+    want = db.sql(__spark_entry__.oracle_sql()[name])
+    got = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     order = [want.columns.index(c) for c in columns]

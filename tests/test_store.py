@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest import cli
 from palimpsest.archive import Archive
@@ -148,3 +149,92 @@ def test_terms(spark):
     assert {x.term for x in terms(t, "shared").collect()} == {"a", "b"} and terms(t, "p").count() == 2
     assert t.select(triple_hash()).distinct().count() == 3 and TRIPLE == ["s", "p", "o"]
     assert TriplePattern.parse("?", "<http://x>", '"l"') == TriplePattern(None, "http://x", '"l"')
+
+
+def test_purge_of_compacted_steps_below_the_snapshot(spark, folder, tmp_path):
+    store = Store(spark, f"{tmp_path}/store").create(Archive.from_folder(spark, folder, 5), ["pos", "osp"])
+    store.compact()
+    store.purge(3)
+    assert [state(store.open(), v) for v in range(4)] == ["26", "16", "346", "346"] and list(store.open().snapshots) == [2]
+    assert {x.s for x in store.open().vm(1, TriplePattern(None, "6")).collect()} == {"6"}
+
+
+@pytest.mark.parametrize("compacted", [False, True])
+def test_versions_before_the_first(spark, folder, tmp_path, compacted):
+    raw = spark.createDataFrame([("2", "2", "2", -1), ("x", "x", "x", 1), ("6", "6", "6", 1), ("6", "6", "6", 1)], "s string, p string, o string, op int")
+    store = Store(spark, f"{tmp_path}/store").create(Archive.from_folder(spark, folder, 3))
+    if compacted:
+        store.compact()
+    store.prepend(-2, raw)
+    a = store.open()
+    assert (a.lowest, a.highest) == (-2, 6) and [state(a, v) for v in range(-2, 3)] == ["6x", "6x", "26", "16", "346"]
+    assert sorted(("+" if x.is_addition else "-") + x.s for x in a.dm(-2, 0).collect()) == ["+2", "-x"]
+    assert {x.s: x.versions for x in a.vq().collect()}["6"] == [-2, -1, 0, 1, 2, 3, 4, 5, 6]
+    with pytest.raises(ArchiveError):
+        a.prepend(-2, raw)
+
+
+def test_copies_in_other_orders(spark, tmp_path):
+    """A pattern without a subject reads files of which statistics leave few row groups."""
+    log = spark.range(4000).selectExpr("cast(1 + id % 5 as int) version", "concat('s', id) s", "concat('p', id % 400) p", "concat('o', id % 37) o", "cast(1 as tinyint) op")
+    base = spark.range(4000, 8000).selectExpr("concat('s', id) s", "concat('p', id % 400) p", "concat('o', id % 37) o")
+    a = Archive.from_changes(base, log, 0, 5)
+    store = Store(spark, f"{tmp_path}/store").create(a, ["pos", "osp"])
+    store.compact()
+    b = store.open()
+    for pattern in (TriplePattern(None, "p7"), TriplePattern(None, None, "o5"), TriplePattern("s7", None, "o7"), TriplePattern(None, "p7", "o7"), TriplePattern("s7")):
+        assert sorted(map(tuple, b.vm(4, pattern).collect())) == sorted(map(tuple, a.vm(4, pattern).collect()))
+        assert sorted(map(tuple, b.dm(1, 4, pattern).collect())) == sorted(map(tuple, a.dm(1, 4, pattern).collect()))
+        assert sorted(map(str, b.vq(pattern).collect())) == sorted(map(str, a.vq(pattern).collect()))
+        assert b.count_vm(4, pattern).first() == a.count_vm(4, pattern).first() and b.count_dm(1, 4, pattern).first() == a.count_dm(1, 4, pattern).first() and b.count_vq(pattern).first() == a.count_vq(pattern).first()
+    for pattern, place in ((TriplePattern(None, "p7"), "_pos/"), (TriplePattern(None, None, "o5"), "_osp/")):
+        assert {("snapshot" + place in f, "compact" + place in f) for f in b.vm(4, pattern).inputFiles()} == {(True, False), (False, True)}
+    assert "EqualTo(p,p7)" in b.vm(4, TriplePattern(None, "p7"))._jdf.queryExecution().executedPlan().toString()
+    # each file of the copy holds a range of predicates of its own
+    files = spark.read.parquet(f"{tmp_path}/store/snapshot_pos/version=0").selectExpr("_metadata.file_path f", "p").groupBy("f").agg(F.min("p").alias("a"), F.max("p").alias("b")).orderBy("a").collect()
+    assert files and all(x.b <= y.a for x, y in zip(files, files[1:], strict=False))
+    rows = store.statistics().orderBy("version").collect()
+    assert [x.version for x in rows] == list(range(6)) and rows[0].bytes > 0 and [x.additions for x in rows] == [0, *[800] * 5]
+    with pytest.raises(ArchiveError):
+        Store(spark, f"{tmp_path}/other").create(a, ["sop"])
+
+
+def test_malformed_lines_are_refused(spark, folder, tmp_path):
+    from palimpsest.sources.ntriples import malformed_in
+
+    (tmp_path / "nt" / "2" / "main.nt.additions.txt").write_text("<3> <3> <3> .\nnot a triple\n<4> <4> <4> .\n<4> <4> .\n")
+    with pytest.raises(ArchiveError, match="2 lines"):
+        Archive.from_folder(spark, folder)
+    assert state(Archive.from_folder(spark, folder, skip_malformed=True), 2) == "346"
+    assert {(x.version, x.kind, x.value) for x in malformed_in(spark, folder).collect()} == {(2, "addition", "not a triple"), (2, "addition", "<4> <4> .")}
+
+
+def test_escapes(spark, tmp_path):
+    lines = [r'<a> <p> "caf\u00e9 \U0001F600 \"q\" \\u0041 \n" .', r"<\u0041> <p> <\U00000042> .", "<a> <p> <x\u0001y> ."]
+    (tmp_path / "f.nt").write_text("\n".join(lines))
+    got = {tuple(x) for x in read_ntriples(spark, f"{tmp_path}/f.nt").collect()}
+    assert got == {("a", "p", r'"café 😀 \"q\" \\u0041 \n"'), ("A", "p", "B")} and malformed_lines(spark, f"{tmp_path}/f.nt").count() == 1
+
+
+def test_changing_commands(spark, folder, tmp_path):
+    run = lambda *args: list(cli.run(spark, list(map(str, args))))
+    path, more = f"{tmp_path}/store", tmp_path / "more"
+    for v, name, n in ((8, "additions", 9), (8, "deletions", 4), (-1, "additions", 7)):
+        (more / str(v)).mkdir(parents=True, exist_ok=True)
+        (more / str(v) / f"main.nt.{name}.txt").write_text(f"<{n}> <{n}> <{n}> .\n")
+    run("ingest", path, folder, 3), run("append", path, 8, more), run("compact", path), run("snapshot", path, 6)
+    assert state(Store(spark, path).open(), 8) == "56789" and list(Store(spark, path).open().snapshots) == [3, 6]
+    run("purge", path, 7)
+    lines = run("describe", path)
+    assert len(lines) == 7 and lines[3].endswith("snapshot") and lines[1].startswith("1 +1 -1 2 ")
+
+
+def test_term_numbers(spark):
+    from palimpsest.functions.terms import decode, encode, insert_terms
+
+    t = in_memory(spark, [("http://a", "p", "b"), ("http://b", "p", "c")])
+    numbers = dictionary(t)
+    more = insert_terms(numbers, in_memory(spark, [("http://0", "q", "c"), ("http://z", "p", "a")]))
+    assert {(x.role, x.term): x.id for x in more.collect()} == {("s", "http://a"): 1, ("s", "http://b"): 2, ("s", "http://0"): 3, ("s", "http://z"): 4, ("p", "p"): 1, ("p", "q"): 2, ("o", "b"): 1, ("o", "c"): 2, ("o", "a"): 3}
+    assert {tuple(x) for x in decode(encode(t, numbers), more).select(*TRIPLE).collect()} == {tuple(x) for x in t.collect()}
+    assert encode(in_memory(spark, [("none", "p", "b")]), numbers).select(*TRIPLE).first()[:] == (None, 1, 1)
