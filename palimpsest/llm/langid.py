@@ -30,6 +30,8 @@ from palimpsest.llm._common import checkpoint, crc_mod, lean, mix, table
 ORDER = 5
 #: Rows per language that train, and rows of all languages together (expected numbers).
 TRAIN_ROWS, ALL_TRAIN_ROWS = 1500, 150_000
+#: Languages whose numbers of rows may be broadcast.
+BROADCAST_ROWS = 100_000
 #: Share of the sample that calibrates; temperatures tried; how far beyond the calibration's 99.9th percentile a text is rejected.
 CALIBRATE, TEMPERATURES, SLACK = 5, (1.0, 2.0, 4.0, 8.0, 16.0, 32.0), 1.5
 UNKNOWN = "und"
@@ -263,7 +265,9 @@ def training_rows(docs: DataFrame, per_language: int = TRAIN_ROWS, fold: int = 4
     # chosen by id, of a few bytes a row, before any text is read
     ids = known.select("doc_id", "lang", turn.alias("turn"))
     counts = checkpoint(ids.groupBy("lang").count())
-    share = min(per_language, all_rows / max(1, counts.count())) / F.col("count")
+    n = counts.count()
+    share = min(per_language, all_rows / max(1, n)) / F.col("count")
+    counts = F.broadcast(counts) if n <= BROADCAST_ROWS else counts
     chosen = checkpoint(ids.join(counts, "lang").filter(F.col("turn") < share * (1 << 30)).select("doc_id", "lang", "turn").distinct())
     # about all_rows ids at most
     return known.filter("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("turn", "doc_id", "lang").agg(F.min("text").alias("text")).select("turn", "doc_id", "text", "lang")
