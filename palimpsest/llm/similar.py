@@ -55,8 +55,11 @@ def shingles(texts: list[bytes], common: tuple[np.ndarray, np.ndarray] | None =
     return row[new], s[new]
 
 
-def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """Candidates among rows sorted by shingle and n, ids and lengths, the smaller id first."""
+def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, before: np.ndarray) -> Iterator[np.ndarray]:
+    """Candidates among rows sorted by shingle and n, ids and lengths, the smaller id first.
+
+    Two texts that have the same shingle before this one met there, and if their likeness isn't ruled out here, it wasn't there.
+    """
     group = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]])).astype(np.int64) << 32
     low = np.arange(1, len(n) + 1)
     high = np.maximum(low, np.searchsorted(group | n, group | n * 5 // 4, "right"))
@@ -68,6 +71,7 @@ def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray)
         a = np.repeat(np.arange(k, end), many)
         b = np.arange(len(a)) - np.repeat(upto[k:end] - upto[k] - low[k:end], many)
         good = 9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b])
+        good &= (before[a] != before[b]) | (at[a] == 0) | (at[b] == 0)
         a, b = a[good], b[good]
         other = sid[a] > sid[b]
         a, b = np.where(other, b, a), np.where(other, a, b)
@@ -109,7 +113,9 @@ def candidates(docs: DataFrame) -> DataFrame:
                 at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 n = n[row]
                 first = at <= n - (4 * n + 4) // 5
-                yield pa.RecordBatch.from_arrays([pa.array(s[first].view(np.int64)), pa.array(sid[a:b][row[first]]), pa.array(n[first].astype(np.int32)), pa.array(at[first].astype(np.int32))], names=["shingle", "sid", "n", "at"])
+                before = np.concatenate([s[:1], s[:-1]]).astype(np.uint32).view(np.int32)
+                columns = s[first].view(np.int64), sid[a:b][row[first]], n[first].astype(np.int32), at[first].astype(np.int32), before[first]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "sid", "n", "at", "before"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple[np.ndarray, ...]] = []
@@ -122,7 +128,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(4)], names=["a", "na", "b", "nb"])
 
         for batch in batches:
-            rows = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            rows = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(5))
             if not len(rows[0]):
                 continue
             pending.append(rows)
@@ -135,7 +141,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         if pending:
             yield from settle(tuple(np.concatenate(x) for x in zip(*pending, strict=True)))
 
-    posts = docs.mapInArrow(lean(post), "shingle long, sid long, n int, at int")
+    posts = docs.mapInArrow(lean(post), "shingle long, sid long, n int, at int, before int")
     return posts.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(lean(meet), "a long, na long, b long, nb long").distinct()
 
 
