@@ -33,7 +33,7 @@ from palimpsest.llm._common import CHUNK_BYTES, checkpoint, crc_mod, lean, mix,
 from palimpsest.llm.elias_fano import EliasFano, mapped, packed
 from palimpsest.llm.warc import filesystem
 
-MU, MU3 = 30.0, 10.0
+MU, MU3 = 30.0, 3.0
 #: Added to each count in the base.
 ADD = 0.1
 #: A shard's tokens, about; the most buckets of words; pairs that a task gathers before it sends them; steps of log10 p.
