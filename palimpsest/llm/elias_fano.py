@@ -18,26 +18,28 @@ _U = np.uint64
 
 
 def _select_table() -> np.ndarray:
-    out = np.zeros((256, 8), np.uint8)
+    """Of each byte and rank the position of that one, at rank * 256 + byte."""
+    out = np.zeros((8, 256), np.uint8)
     for b in range(256):
         ones = [i for i in range(8) if b >> i & 1]
-        out[b, : len(ones)] = ones
-    return out
+        out[: len(ones), b] = ones
+    return out.ravel()
 
 
 _IN_BYTE = _select_table()
+#: 1 and 128 in each byte of a word, and masks of its bits by two, four and eight.
+_EACH, _HIGH, _TWO, _FOUR, _EIGHT = (_U(x * 0x0101010101010101) for x in (0x01, 0x80, 0x55, 0x33, 0x0F))
 
 
 def _in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Position of the rank-th one of each word."""
-    word, rank, at = word.copy(), rank.astype(np.int64), np.zeros(len(word), np.int64)
-    for half in (32, 16, 8):
-        ones = np.bitwise_count(word & _U((1 << half) - 1)).astype(np.int64)
-        up = rank >= ones
-        word = np.where(up, word >> _U(half), word)
-        rank = np.where(up, rank - ones, rank)
-        at += np.where(up, half, 0)
-    return at + _IN_BYTE[(word & _U(255)).astype(np.int64), rank]
+    """Position of the rank-th one of each word: the byte by sums of the bytes up to each, then by a table."""
+    rank = rank.astype(_U)
+    upto = word - (word >> _U(1) & _TWO)
+    upto = (upto & _FOUR) + (upto >> _U(2) & _FOUR)
+    upto = (upto + (upto >> _U(4)) & _EIGHT) * _EACH
+    before = np.bitwise_count((rank * _EACH | _HIGH) - upto & _HIGH).astype(_U) << _U(3)
+    left = rank - (upto << _U(8) >> before & _U(255))
+    return (before + _IN_BYTE[left << _U(8) | word >> before & _U(255)]).astype(np.int64)
 
 
 class EliasFano:
@@ -98,17 +100,15 @@ class EliasFano:
         top = (self._select(i, self.ones, False) - i).astype(_U)
         return top << _U(self.bits) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first place whose value is at least x; n if there is none."""
-        x = np.asarray(x, _U)
-        if not self.n:
-            return np.zeros(len(x), np.int64)
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place whose value is at least x, and whether the value there has the same high bits."""
         top = x >> _U(self.bits)
         beyond = top >= _U(int(self.zeros[-1]) - 1)  # no zero of that number is followed by a value
         k = np.where(beyond, 0, top.astype(np.int64))
         start = np.where(k > 0, self._select(np.maximum(k - 1, 0), self.zeros, True) - np.maximum(k - 1, 0), 0)
-        end = self._select(k, self.zeros, True) - k
+        last = self._select(k, self.zeros, True) - k
         part = x & _U((1 << self.bits) - 1)
+        end = last.copy()
         while True:  # within the values of these high bits
             open_ = np.flatnonzero(start < end)
             if not len(open_):
@@ -117,16 +117,23 @@ class EliasFano:
             less = self._low(mid) < part[open_]
             start[open_[less]] = mid[less] + 1
             end[open_[~less]] = mid[~less]
-        return np.where(beyond, self.n, start)
+        return np.where(beyond, self.n, start), (start < last) & ~beyond
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The first place whose value is at least x; n if there is none."""
+        x = np.asarray(x, _U)
+        return self._search(x)[0] if self.n else np.zeros(len(x), np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of x, or -1."""
         x = np.asarray(x, _U)
-        if not self.n:
-            return np.full(len(x), -1)
-        i = self.successor(x)
-        inside = np.minimum(i, self.n - 1)
-        return np.where((i < self.n) & (self.access(inside) == x), i, -1)
+        out = np.full(len(x), -1)
+        if self.n:
+            i, same = self._search(x)
+            same = np.flatnonzero(same)
+            good = same[self._low(i[same]) == x[same] & _U((1 << self.bits) - 1)]
+            out[good] = i[good]
+        return out
 
 
 def packed(arrays: dict[str, np.ndarray]) -> bytes:

@@ -21,6 +21,7 @@ numbered by 32 bits. Columns other than doc_id and text aren't looked at.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -285,7 +286,7 @@ class Trie:
 
     def value(self, name: str, place: np.ndarray) -> np.ndarray:
         q, step = self.values[name]
-        return 10 ** (q[place] * step)
+        return np.exp(q[place] * (step * math.log(10)))
 
 
 class Model:
@@ -323,6 +324,7 @@ class Model:
         spread, key = voc.spread(counts[v], counts[w]), ids[v].astype(np.uint64) << np.uint64(32) | ids[w].astype(np.uint64)
         known = (ids[v] >= 0) & (ids[w] >= 0)
         inner = np.flatnonzero(~last)
+        inner = inner[np.argsort(of[inner] << 32 | at[inner + 1])]  # sorted searches are near each other
         pair, x = of[inner], ids[at[inner + 1]]
         three = np.zeros(len(inner))
         # what each shard is asked: bigrams, and what follows them
