@@ -4,8 +4,13 @@ Two sets of likeness 4/5 or more have a shingle in common among the first n - ce
 for all texts. So these are posted, and only texts that share one are candidates, less those whose lengths, or the
 shingle's place in both, rule the likeness out. Candidates are then compared on their whole sets. Shingles that a sample
 finds often come last in the order, so that common phrases bring few texts together; the order has no effect on the result. Equal
-texts are one: a task posts each once. Candidates are compared where their component of candidates is: its sets go there once, and pairs
-that are connected already aren't compared. Components of more than ``TOGETHER`` shingles aren't gathered; their pairs meet one by one.
+texts are one: a task posts each once.
+
+Texts that are all alike would be candidates in all pairs. So each text is first compared with one centre alone: of the texts that have
+the smallest id at some shared shingle, the one with which it shares the most. A centre's texts are dealt into parts of about ``STAR_ROWS``.
+Whoever is like their centre is connected, and candidates are pairs across what isn't connected yet. These are compared where their
+component of candidates is: its sets go there once, and pairs that have become connected aren't compared. Components of more than
+``TOGETHER`` shingles aren't gathered; their pairs meet one by one.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a text of fewer than five words has one shingle, of all of them;
 null, empty and blank texts have none and are like no other.
@@ -27,8 +32,8 @@ from palimpsest.llm.simhash import fingerprints, grouped, row_key
 WIDTH = 5
 #: Rows of the sample, about; shingles it may put last; pairs made at a time; rows that may be broadcast.
 SAMPLE, MOST_COMMON, PAIRS, BROADCAST_ROWS = 10_000, 1 << 18, 1 << 20, 1 << 20
-#: Shingles of a component of candidates that are compared in one place.
-TOGETHER = 1 << 22
+#: Shingles of a component of candidates that are compared in one place; texts that meet a copy of their centre, about.
+TOGETHER, STAR_ROWS = 1 << 22, 512
 
 
 def shingles(texts: list[bytes], common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -55,27 +60,42 @@ def shingles(texts: list[bytes], common: tuple[np.ndarray, np.ndarray] | None =
     return row[new], s[new]
 
 
-def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, before: np.ndarray) -> Iterator[np.ndarray]:
-    """Candidates among rows sorted by shingle and n, ids and lengths, the smaller id first.
+def _possible(n: np.ndarray, at: np.ndarray, other_n: np.ndarray, other_at: np.ndarray) -> np.ndarray:
+    """Whether sets of these lengths that share a shingle at these places, and none before, may be alike."""
+    return 9 * np.minimum(n - at, other_n - other_at) >= 4 * (n + other_n)
+
+
+def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, before: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
+    """Candidates of different labels among rows sorted by shingle and n, ids, lengths and labels, the smaller id first.
 
+    Each text of a shingle meets those of other labels, but texts of its most frequent label aren't gone through.
     Two texts that have the same shingle before this one met there, and if their likeness isn't ruled out here, it wasn't there.
     """
-    group = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]])).astype(np.int64) << 32
-    low = np.arange(1, len(n) + 1)
-    high = np.maximum(low, np.searchsorted(group | n, group | n * 5 // 4, "right"))
+    group = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]])).astype(np.int64)
+    order = np.lexsort((label, group))
+    g, x = group[order], label[order]
+    start = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])]))
+    size = np.diff(start, append=len(g))
+    best = start[np.lexsort((size, g[start]))]
+    top = x[best[np.concatenate([g[best][1:] != g[best][:-1], [True]])]]
+    rest = label != top[group]
+    rows = np.flatnonzero(rest)
+    key = group << 32 | n
+    low = np.searchsorted(key, group[rows] << 32 | (4 * n[rows] + 4) // 5)
+    high = np.searchsorted(key, group[rows] << 32 | n[rows] * 5 // 4, "right")
     upto = np.concatenate([[0], np.cumsum(high - low)])
     k = 0
-    while k < len(n):
+    while k < len(rows):
         end = max(k + 1, int(np.searchsorted(upto, upto[k] + PAIRS, "right")) - 1)
         many = high[k:end] - low[k:end]
-        a = np.repeat(np.arange(k, end), many)
+        a = np.repeat(rows[k:end], many)
         b = np.arange(len(a)) - np.repeat(upto[k:end] - upto[k] - low[k:end], many)
-        good = 9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b])
+        good = (label[a] != label[b]) & (~rest[b] | (a < b)) & _possible(n[a], at[a], n[b], at[b])
         good &= (before[a] != before[b]) | (at[a] == 0) | (at[b] == 0)
         a, b = a[good], b[good]
         other = sid[a] > sid[b]
         a, b = np.where(other, b, a), np.where(other, a, b)
-        both = np.unique(np.stack([sid[a], n[a], sid[b], n[b]], axis=1)[sid[a] != sid[b]], axis=0)
+        both = np.unique(np.stack([sid[a], n[a], label[a], sid[b], n[b], label[b]], axis=1), axis=0)
         if len(both):
             yield both
         k = end
@@ -86,8 +106,11 @@ def _new(ids: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array([k for k, i in enumerate(ids.tolist()) if i not in seen and not seen.add(i)], np.int64)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(a, na, b, nb): ids and lengths of texts that may be alike, each pair once. docs: (sid, text); equal ids have equal texts."""
+def shared_shingles(docs: DataFrame) -> DataFrame:
+    """(shingle, sid, n, at, before, centre): the posted shingles that texts share, each text's once. docs: (sid, text); equal ids have equal texts.
+
+    centre: the smallest id that has the shingle, null for itself and where the likeness is ruled out.
+    """
     total = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,18 +140,49 @@ def candidates(docs: DataFrame) -> DataFrame:
                 columns = s[first].view(np.int64), sid[a:b][row[first]], n[first].astype(np.int32), at[first].astype(np.int32), before[first]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "sid", "n", "at", "before"])
 
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by shingle and sid; the first of a shingle is held back until there is another."""
+        first = held = last = None
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)
+            if not len(rows):
+                continue
+            ids = rows[:, :2] if last is None else np.concatenate([last[None], rows[:, :2]])
+            new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])
+            rows, last = rows[new[len(new) - len(rows) :]], rows[-1, :2]
+            if not len(rows):
+                continue
+            if first is not None:  # the centre of the shingle before, which may have been written
+                rows = np.concatenate([first[None], rows])
+            begin = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+            centre = np.maximum.accumulate(np.where(begin, np.arange(len(rows)), 0))
+            c = rows[centre]
+            good = ~begin & _possible(rows[:, 2], rows[:, 3], c[:, 2], c[:, 3])
+            keep = ~begin | np.concatenate([~begin[1:], [False]])
+            if first is not None and not held:
+                keep[0] = False
+            first, held = rows[centre[-1]], bool(begin[-1])
+            if keep.any():
+                columns = [pa.array(rows[keep, k].astype(t)) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32, np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(c[keep, 1], mask=~good[keep])], names=["shingle", "sid", "n", "at", "before", "centre"])
+
+    posts = docs.mapInArrow(lean(post), "shingle long, sid long, n int, at int, before int")
+    return posts.repartition("shingle").sortWithinPartitions("shingle", "sid").mapInArrow(lean(share), "shingle long, sid long, n int, at int, before int, centre long")
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """(a, na, la, b, nb, lb): ids, lengths and labels of texts of different labels that may be alike, each pair once. shared: (shingle, sid, n, at, before, label)."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple[np.ndarray, ...]] = []
 
         def settle(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            same = rows[0][1:] == rows[0][:-1]
-            if same.any():
-                shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-                for both in _pairs(*(x[shared] for x in rows)):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(4)], names=["a", "na", "b", "nb"])
+            if len(rows[0]):
+                for both in _pairs(*rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(6)], names=["a", "na", "la", "b", "nb", "lb"])
 
         for batch in batches:
-            rows = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(5))
+            rows = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(6))
             if not len(rows[0]):
                 continue
             pending.append(rows)
@@ -141,8 +195,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         if pending:
             yield from settle(tuple(np.concatenate(x) for x in zip(*pending, strict=True)))
 
-    posts = docs.mapInArrow(lean(post), "shingle long, sid long, n int, at int, before int")
-    return posts.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(lean(meet), "a long, na long, b long, nb long").distinct()
+    rows = shared.select("shingle", "sid", "n", "at", "before", "label").repartition("shingle").sortWithinPartitions("shingle", "n")
+    return rows.mapInArrow(lean(meet), "a long, na long, la long, b long, nb long, lb long").distinct()
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -154,28 +208,61 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def links(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text, the last column, is replaced by its set; equal rows of a task once."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 1)), strict=True))
+        batch = batch.take(pa.array([k for k, x in enumerate(keys) if x not in seen and not seen.add(x)], pa.int64()))
+        texts = utf8(batch.column(batch.num_columns - 1))
+        for a, b in slices(texts):
+            row, s = shingles(texts[a:b])
+            cut = np.cumsum(np.bincount(row, minlength=b - a))[:-1]
+            own = [x.tobytes() for x in np.split(s, cut)]
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(own, pa.binary())], names=[*batch.schema.names[:-1], "s"])
+
+
+def stars(docs: DataFrame, shared: DataFrame, star_rows: int = STAR_ROWS) -> DataFrame:
+    """(a, b): texts that are like their centre, b."""
+    counted = shared.filter("centre is not null").groupBy("sid", "centre").count()
+    own = checkpoint(counted.groupBy("sid").agg(F.max(F.struct("count", "centre")).alias("x")).select("sid", F.col("x.centre").alias("centre")))
+    sizes = checkpoint(own.groupBy("centre").agg(F.ceil(F.count("*") / star_rows).cast("int").alias("parts")))
+    texts = own.join(_few(sizes), "centre").select("sid", "centre", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"))
+    copies = sizes.select(F.col("centre").alias("sid"), "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+    ends = checkpoint(texts.unionByName(copies))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre = None, np.empty(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for own, part, asks, sid, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                x = np.sort(np.frombuffer(s, np.uint64))
+                if not asks:
+                    now, centre = (own, part), x
+                elif now == (own, part) and _alike(centre, x):
+                    a.append(sid)
+                    b.append(own)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    sets = docs.join(_few(ends), "sid").select("centre", "part", "asks", "sid", "text").mapInArrow(lean(_sets), "centre long, part int, asks boolean, sid long, s binary")
+    return sets.repartition("centre", "part").sortWithinPartitions("centre", "part", "asks").mapInArrow(lean(compare), "a long, b long").distinct()
+
+
+def links(docs: DataFrame, together: int = TOGETHER, star_rows: int = STAR_ROWS) -> DataFrame:
     """(a, b): links that connect the different texts that are alike, by their ids. docs: (sid, text); equal ids have equal texts."""
-    pairs = checkpoint(candidates(docs))
+    shared = checkpoint(shared_shingles(docs))
+    near = checkpoint(stars(docs, shared, star_rows))
+    joined = checkpoint(components(near).select(F.col("node").alias("sid"), F.col("component").alias("label")))
+    pairs = checkpoint(candidates(shared.join(_few(joined), "sid", "left").withColumn("label", F.coalesce("label", "sid"))))
     label = components(pairs.select("a", "b")).select(F.col("node").alias("sid"), F.col("component").alias("label"))
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("na").alias("n")), F.struct(F.col("b").alias("sid"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(x).alias("sid"), F.col(f"n{x}").alias("n"), F.col(f"l{x}").alias("known")) for x in "ab"))).alias("x")).select("x.*").distinct()
     ends = checkpoint(ends.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     sizes = checkpoint(ends.groupBy("label").agg(F.sum("n").alias("size")))
-    ends = checkpoint(ends.join(sizes, "label").select("sid", "label", (F.col("size") <= together).alias("near")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            batch = batch.take(pa.array(_new(batch.column(1).to_numpy(), seen)))
-            texts = utf8(batch.column(3))
-            for a, b in slices(texts):
-                row, s = shingles(texts[a:b])
-                cut = np.cumsum(np.bincount(row, minlength=b - a))[:-1]
-                own = [x.tobytes() for x in np.split(s, cut)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(own, pa.binary())], names=["label", "a", "near", "s"])
+    ends = checkpoint(ends.join(sizes, "label").select("sid", "label", "known", (F.col("size") <= together).alias("near")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, root = None, {}, {}
+        now, sets, known, root = None, {}, {}, {}
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -185,12 +272,13 @@ def links(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
 
         for batch in batches:
             found = []
-            for own, a, b, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for own, a, b, k, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if own != now:
-                    now, sets, root = own, {}, {}
+                    now, sets, known, root = own, {}, {}, {}
                 if b is None:
-                    sets[a], root[a] = np.sort(np.frombuffer(s, np.uint64)), a
-                elif (x := find(a)) != (y := find(b)) and _alike(sets[a], sets[b]):
+                    sets[a], known[a] = np.sort(np.frombuffer(s, np.uint64)), k
+                    root.setdefault(k, k)
+                elif (x := find(known[a])) != (y := find(known[b])) and _alike(sets[a], sets[b]):
                     root[max(x, y)] = min(x, y)
                     found.append((a, b))
             if found:
@@ -202,17 +290,16 @@ def links(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
             good = pa.array([_alike(x, y) for x, y in zip(read(2), read(3), strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(good)
 
-    texts = docs.join(_few(ends), "sid").select("label", F.col("sid").alias("a"), "near", "text")
-    sets = checkpoint(texts.mapInArrow(lean(run), "label long, a long, near boolean, s binary"))
-    # each set once, however many tasks have the text
-    rows = sets.filter("near").select("label", "a", F.lit(None).cast("long").alias("b"), "s")
+    texts = docs.join(_few(ends), "sid").select("label", F.col("sid").alias("a"), "known", "near", "text")
+    sets = checkpoint(texts.mapInArrow(lean(_sets), "label long, a long, known long, near boolean, s binary"))
+    rows = sets.filter("near").select("label", "a", F.lit(None).cast("long").alias("b"), "known", "s")
     met = pairs.select("a", "b").join(ends.select(F.col("sid").alias("a"), "label", "near"), "a")
-    asked = met.filter("near").select("label", "a", "b", F.lit(None).cast("binary").alias("s"))
+    asked = met.filter("near").select("label", "a", "b", F.lit(None).cast("long").alias("known"), F.lit(None).cast("binary").alias("s"))
     inside = rows.unionByName(asked).repartition("label").sortWithinPartitions("label", F.col("b").asc_nulls_first(), "a").mapInArrow(lean(compare), "a long, b long")
     far = sets.filter("not near").dropDuplicates(["a"])
     one, two = (far.select(F.col("a").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     apart = met.filter("not near").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")
-    return inside.unionByName(apart)
+    return near.unionByName(inside).unionByName(apart)
 
 
 def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:

@@ -32,11 +32,11 @@ def corpus():
     return texts + ["", "one two", "One  two", "one two three", None]
 
 
-@pytest.mark.parametrize("together", [1 << 22, 400, 0])
-def test_links_connect_all_pairs(spark, together):
+@pytest.mark.parametrize("together, star_rows", [(1 << 22, 512), (400, 2), (0, 512)])
+def test_links_connect_all_pairs(spark, together, star_rows):
     texts = corpus()
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, texts[i]) for i in range(0, 60, 2)], "sid long, text string")
-    got = {tuple(sorted((x.a, x.b))) for x in similar.links(frame, together).collect()}
+    got = {tuple(sorted((x.a, x.b))) for x in similar.links(frame, together, star_rows).collect()}
     want = {(i, j) for j, y in enumerate(texts) for i, x in enumerate(texts[:j]) if like(x or "", y or "")}
     assert got <= want and len(want) > 40
     root = list(range(len(texts)))
@@ -57,3 +57,40 @@ def test_stage_leaves_no_pair(spark, docs_of):
     left.remove(None)
     assert not any(like(x, y) for i, x in enumerate(left) for y in left[:i])
     assert {rows[i][1] for i in range(0, 100, 5)} <= set(left) and len(left) == len(set(left)) and "" not in left
+
+
+def test_a_large_group_of_near_copies_isn_t_paired(spark):
+    """Copies of one text, each with a word of its own, are connected by their centre; only the text that isn't like it is left to candidates."""
+    r = random.Random(5)
+    w = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        v = list(w)
+        v[r.randrange(len(v))] = f"x{i}"
+        texts.append(" ".join(v))
+    frame = spark.createDataFrame(list(enumerate(texts)), "sid long, text string")
+    shared = similar.shared_shingles(frame).cache()
+    near = [(x.a, x.b) for x in similar.stars(frame, shared, 16).collect()]
+    assert len({a for a, _ in near}) == len(near) == 299 and all(like(texts[a], texts[b]) for a, b in near)
+    pairs = similar.candidates(shared.withColumn("label", shared["sid"])).collect()
+    assert len(pairs) > 299 * 100
+    assert not similar.candidates(shared.selectExpr("*", "0L as label")).collect()
+    links = {(x.a, x.b) for x in similar.links(frame).collect()}
+    assert len(links) == 299
+
+
+def test_shared_shingles_across_batches(spark):
+    texts = corpus()
+    frame = spark.createDataFrame(list(enumerate(texts)) * 2, "sid long, text string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    got = []
+    for rows in ("10000", "3", "1"):
+        spark.conf.set(key, rows)
+        got.append(sorted((tuple(x) for x in similar.shared_shingles(frame).drop("at", "before").collect()), key=str))
+    spark.conf.unset(key)
+    assert got[0] == got[1] == got[2]
+    of = {}
+    for shingle, sid, _, _ in got[0]:
+        of.setdefault(shingle, set()).add(sid)
+    assert all(len(x) > 1 for x in of.values()) and len(got[0]) == sum(map(len, of.values()))
+    assert all(c is None or c == min(of[h]) != sid for h, sid, _, c in got[0]) and any(c is not None for *_, c in got[0])
