@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,6 +50,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Collects the driver's garbage: Spark removes shuffle files, and checkpoints if so configured, only when the driver's objects for them are gone.
+
+    Py4J tells the JVM what Python has let go once a second, and Spark removes files in a thread of its own.
+    """
+    gc.collect()
+    time.sleep(1.2)
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of a task, after which its worker returns the memory that is free: it may wait for long for its next task."""
 

@@ -1,10 +1,14 @@
 """Near-duplicates by the Jaccard likeness of their sets of five-word shingles, none missed.
 
-Two sets of likeness 4/5 or more have a shingle in common among the first n - ceil(4n/5) + 1 of each, in any order that is the same
-for all texts. So these are posted, and only texts that share one are candidates, less those whose lengths, or the
-shingle's place in both, rule the likeness out. Candidates are then compared on their whole sets. Shingles that a sample
-finds often come last in the order, so that common phrases bring few texts together; the order has no effect on the result. Equal
-texts are one: a task posts each once.
+Two sets of likeness 4/5 or more have two shingles in common among the first n - ceil(4n/5) + 2 of each, in any order that is the same
+for all texts (sets of one shingle: that one). So these are posted, and only texts that share two are candidates, less those whose
+lengths, or a shingle's place in both, rule the likeness out. Shingles that a sample finds often come last in the order, so that
+common phrases bring few texts together; the order has no effect on the result. Equal texts are one: a task posts each once.
+
+Texts that share some shingles by chance grow in number with the square of the corpus, and a set takes more bytes than its text. So
+candidates first meet by their parities alone: a bit for each of n to 2n ranges of shingles, whether the set has an odd number there.
+Each bit in which two texts differ is a shingle that only one has; alike texts differ in no more than a ninth of n + m. This
+rules out no alike texts, and nearly all others. What is left is compared on the whole sets.
 
 Texts that are all alike would be candidates in all pairs. So each text is first compared with one centre alone: of the texts that have
 the smallest id at some shared shingle, the one with which it shares the most. A centre's texts are dealt into parts of about ``STAR_ROWS``.
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import checkpoint, combine, lean, slices, utf8, word_hashes
+from palimpsest.llm._common import checkpoint, combine, drop_shuffles, lean, slices, utf8, word_hashes
 from palimpsest.llm.components import components
 from palimpsest.llm.simhash import fingerprints, grouped, row_key
 
@@ -60,17 +64,40 @@ def shingles(texts: list[bytes], common: tuple[np.ndarray, np.ndarray] | None =
     return row[new], s[new]
 
 
+def parities(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The size of each text's set, and its parities: of 2**k ranges of shingles, as many as the set has or up to twice that, 64 at least."""
+    row, s = shingles(texts)
+    n = np.bincount(row, minlength=len(texts))
+    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
+    end = np.cumsum(bits)
+    odd = np.bincount((end - bits)[row] + (s & (bits - 1).astype(np.uint64)[row]).astype(np.int64), minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return n, [packed[(e - b) // 8 : e // 8] for b, e in zip(bits.tolist(), end.tolist(), strict=True)]
+
+
+def fewest_apart(a: bytes, b: bytes) -> int:
+    """A number of shingles that one of two sets, at least, has and the other hasn't, from their parities; the longer ones are folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _possible(n: np.ndarray, at: np.ndarray, other_n: np.ndarray, other_at: np.ndarray) -> np.ndarray:
-    """Whether sets of these lengths that share a shingle at these places, and none before, may be alike."""
-    return 9 * np.minimum(n - at, other_n - other_at) >= 4 * (n + other_n)
+    """Whether sets of these lengths that share a shingle at these places, and one before at most, may be alike."""
+    return 9 * (1 + np.minimum(n - at, other_n - other_at)) >= 4 * (n + other_n)
 
 
 def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, before: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
-    """Candidates of different labels among rows sorted by shingle and n, ids, lengths and labels, the smaller id first.
+    """Texts of different labels among rows sorted by shingle and n: ids, lengths and labels, the smaller id first, and how many shingles are known to be shared.
 
     Each text of a shingle meets those of other labels, but texts of its most frequent label aren't gone through.
     Two texts that have the same shingle before this one met there, and if their likeness isn't ruled out here, it wasn't there.
+    There the next shingle was counted as well. before: as of shared_shingles.
     """
+    before, after = before >> 16, before & 0xFFFF
     group = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]])).astype(np.int64)
     order = np.lexsort((label, group))
     g, x = group[order], label[order]
@@ -95,9 +122,10 @@ def _pairs(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray,
         a, b = a[good], b[good]
         other = sid[a] > sid[b]
         a, b = np.where(other, b, a), np.where(other, a, b)
-        both = np.unique(np.stack([sid[a], n[a], label[a], sid[b], n[b], label[b]], axis=1), axis=0)
+        both, which = np.unique(np.stack([sid[a], n[a], label[a], sid[b], n[b], label[b]], axis=1), axis=0, return_inverse=True)
         if len(both):
-            yield both
+            times = np.bincount(which.reshape(-1), 1 + (after[a] == after[b]), len(both)).astype(np.int64)
+            yield np.concatenate([both, times[:, None]], axis=1)
         k = end
 
 
@@ -109,7 +137,8 @@ def _new(ids: np.ndarray, seen: set[int]) -> np.ndarray:
 def shared_shingles(docs: DataFrame) -> DataFrame:
     """(shingle, sid, n, at, before, centre): the posted shingles that texts share, each text's once. docs: (sid, text); equal ids have equal texts.
 
-    centre: the smallest id that has the shingle, null for itself and where the likeness is ruled out.
+    centre: the smallest id that has the shingle, null for itself and where the likeness is ruled out. before: 32 bits of the shingle before
+    in the text's order, then 16 of the one after.
     """
     total = docs.count()
 
@@ -135,8 +164,8 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
                 n = np.bincount(row, minlength=b - a)
                 at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 n = n[row]
-                first = at <= n - (4 * n + 4) // 5
-                before = np.concatenate([s[:1], s[:-1]]).astype(np.uint32).view(np.int32)
+                first = at <= n - (4 * n + 4) // 5 + 1
+                before = (np.concatenate([s[:1], s[:-1]]).astype(np.uint32).astype(np.int64) << 16) | np.concatenate([s[1:], s[-1:]]).astype(np.uint16)
                 columns = s[first].view(np.int64), sid[a:b][row[first]], n[first].astype(np.int32), at[first].astype(np.int32), before[first]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "sid", "n", "at", "before"])
 
@@ -163,11 +192,11 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
                 keep[0] = False
             first, held = rows[centre[-1]], bool(begin[-1])
             if keep.any():
-                columns = [pa.array(rows[keep, k].astype(t)) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32, np.int32))]
+                columns = [pa.array(rows[keep, k].astype(t)) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32, np.int64))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(c[keep, 1], mask=~good[keep])], names=["shingle", "sid", "n", "at", "before", "centre"])
 
-    posts = docs.mapInArrow(lean(post), "shingle long, sid long, n int, at int, before int")
-    return posts.repartition("shingle").sortWithinPartitions("shingle", "sid").mapInArrow(lean(share), "shingle long, sid long, n int, at int, before int, centre long")
+    posts = docs.mapInArrow(lean(post), "shingle long, sid long, n int, at int, before long")
+    return posts.repartition("shingle").sortWithinPartitions("shingle", "sid").mapInArrow(lean(share), "shingle long, sid long, n int, at int, before long, centre long")
 
 
 def candidates(shared: DataFrame) -> DataFrame:
@@ -179,7 +208,7 @@ def candidates(shared: DataFrame) -> DataFrame:
         def settle(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]):
                 for both in _pairs(*rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(6)], names=["a", "na", "la", "b", "nb", "lb"])
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(7)], names=["a", "na", "la", "b", "nb", "lb", "times"])
 
         for batch in batches:
             rows = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(6))
@@ -196,7 +225,38 @@ def candidates(shared: DataFrame) -> DataFrame:
             yield from settle(tuple(np.concatenate(x) for x in zip(*pending, strict=True)))
 
     rows = shared.select("shingle", "sid", "n", "at", "before", "label").repartition("shingle").sortWithinPartitions("shingle", "n")
-    return rows.mapInArrow(lean(meet), "a long, na long, la long, b long, nb long, lb long").distinct()
+    met = rows.mapInArrow(lean(meet), "a long, na long, la long, b long, nb long, lb long, times long")
+    return met.groupBy("a", "na", "la", "b", "nb", "lb").agg(F.sum("times").alias("times")).filter("times > 1 or na + nb = 2").drop("times")
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(sid, n, bits): the size of each text's set and its parities, each id once in a task at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch.take(pa.array(_new(batch.column(0).to_numpy(), seen)))
+            texts = utf8(batch.column(1))
+            for a, b in slices(texts):
+                n, bits = parities(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["sid", "n", "bits"])
+
+    return docs.select("sid", "text").mapInArrow(lean(run), "sid long, n long, bits binary").dropDuplicates(["sid"])
+
+
+def likely(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b and other columns) but those whose parities rule the likeness out."""
+    one, two = (sketched.select(F.col("sid").alias(k), F.col("n").alias(f"_n{k}"), F.col("bits").alias(f"_x{k}")) for k in "ab")
+    width = len(pairs.columns)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(width).to_numpy() + batch.column(width + 1).to_numpy()
+            x, y = (batch.column(k).to_pylist() for k in (width + 2, width + 3))
+            apart = np.fromiter(map(fewest_apart, x, y), np.int64, len(n))
+            yield batch.select(list(range(width))).filter(pa.array(9 * apart <= n))
+
+    return pairs.join(one, "a").join(two, "b").select(*pairs.columns, "_na", "_nb", "_xa", "_xb").mapInArrow(lean(check), pairs.schema)
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -222,10 +282,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(own, pa.binary())], names=[*batch.schema.names[:-1], "s"])
 
 
-def stars(docs: DataFrame, shared: DataFrame, star_rows: int = STAR_ROWS) -> DataFrame:
-    """(a, b): texts that are like their centre, b."""
+def stars(docs: DataFrame, shared: DataFrame, star_rows: int = STAR_ROWS, sketched: DataFrame | None = None) -> DataFrame:
+    """(a, b): texts that are like their centre, b. sketched: the texts' sketches."""
     counted = shared.filter("centre is not null").groupBy("sid", "centre").count()
-    own = checkpoint(counted.groupBy("sid").agg(F.max(F.struct("count", "centre")).alias("x")).select("sid", F.col("x.centre").alias("centre")))
+    most = counted.groupBy("sid").agg(F.max(F.struct("count", "centre")).alias("x")).select(F.col("sid").alias("a"), F.col("x.centre").alias("b"))
+    own = checkpoint(likely(most, sketched or sketches(docs)).select(F.col("a").alias("sid"), F.col("b").alias("centre")))
     sizes = checkpoint(own.groupBy("centre").agg(F.ceil(F.count("*") / star_rows).cast("int").alias("parts")))
     texts = own.join(_few(sizes), "centre").select("sid", "centre", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"))
     copies = sizes.select(F.col("centre").alias("sid"), "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
@@ -251,10 +312,19 @@ def stars(docs: DataFrame, shared: DataFrame, star_rows: int = STAR_ROWS) -> Dat
 
 def links(docs: DataFrame, together: int = TOGETHER, star_rows: int = STAR_ROWS) -> DataFrame:
     """(a, b): links that connect the different texts that are alike, by their ids. docs: (sid, text); equal ids have equal texts."""
+    spark = docs.sparkSession
     shared = checkpoint(shared_shingles(docs))
-    near = checkpoint(stars(docs, shared, star_rows))
+    drop_shuffles(spark)  # of all posted shingles
+    sketched = checkpoint(sketches(docs))
+    near = checkpoint(stars(docs, shared, star_rows, sketched))
     joined = checkpoint(components(near).select(F.col("node").alias("sid"), F.col("component").alias("label")))
+    drop_shuffles(spark)
     pairs = checkpoint(candidates(shared.join(_few(joined), "sid", "left").withColumn("label", F.coalesce("label", "sid"))))
+    del shared
+    drop_shuffles(spark)
+    pairs = checkpoint(likely(pairs, sketched))
+    del sketched
+    drop_shuffles(spark)
     label = components(pairs.select("a", "b")).select(F.col("node").alias("sid"), F.col("component").alias("label"))
     ends = pairs.select(F.explode(F.array(*(F.struct(F.col(x).alias("sid"), F.col(f"n{x}").alias("n"), F.col(f"l{x}").alias("known")) for x in "ab"))).alias("x")).select("x.*").distinct()
     ends = checkpoint(ends.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
@@ -317,6 +387,7 @@ def keep_one_like(docs: DataFrame) -> DataFrame:
     groups = checkpoint(grouped(fps).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_least")))
     more = groups.filter("_key <> _least").select("_key").distinct()
     left = _without(keyed, more)
+    drop_shuffles(docs.sparkSession)  # of the fingerprints
     alike = checkpoint(links(left.select(F.xxhash64("_key").alias("sid"), "text")))
     names = groups.select("_key", F.xxhash64("_key").alias("sid")).distinct().join(alike.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
     names = checkpoint(names)
