@@ -11,22 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import langid, mixing, similar, toxicity
-from palimpsest.llm._common import shared_dir, table
+from palimpsest.llm._common import shared_dir, small_batches, table
 from palimpsest.llm.byte_bpe import encode_documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trains on labelled documents outside the held-out fold, and drops documents predicted toxic."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels"))))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trains on the stage's documents outside the held-out fold, and drops documents without letters or of no learned language."""
+    small_batches(spark)
     return langid.drop_rejected(docs, langid.train(langid.training_rows(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops all but one of texts whose SimHashes are within 4 bits, and of what is left, of texts with five-word Jaccard likeness 0.8 or more."""
+    small_batches(spark)
     return similar.keep_one_like(docs)
 
 
@@ -37,6 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text."""
+    small_batches(spark)
     out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     exact = F.sha2("decoded", 256) == F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"))

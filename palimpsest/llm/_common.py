@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SPACES = (0x20, *range(0x09, 0x0E))
 #: Bytes of text that are hashed at a time; the arrays made on the way take some forty times as much.
 CHUNK_BYTES = 1 << 20
+#: Bytes of rows that a Python worker gets at a time, about, and Spark's setting for that.
+BATCH_BYTES, BATCH_SETTING = 1 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,17 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for what Spark hands to a Python worker at a time to ``BATCH_BYTES``; a longer row goes by itself.
+
+    Spark's own limit is 64 MB. A batch is held by the JVM outside its heap and by the worker, there as lists of texts too. Spark reads the
+    setting when it runs a query, so it has to stay; a limit that is lower already stays as it is.
+    """
+    set_to = spark.conf.get(BATCH_SETTING, None)
+    if not set_to or not 0 < spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(set_to) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of a task, after which its worker returns the memory that is free: it may wait for long for its next task."""
 

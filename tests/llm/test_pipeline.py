@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+from palimpsest.llm import byte_bpe, langid, similar, simhash, toxicity
+from palimpsest.llm._common import BATCH_BYTES, BATCH_SETTING, lean, small_batches
 from palimpsest.llm.mixing import assign
 
 
@@ -66,3 +68,37 @@ def test_run_and_nothing(spark, docs_of, sf_dir):
     path = sf_dir(documents=docs_of(rows), labels=labels)
     assert sorted(map(str, corpus_pipeline.run(spark, path).collect())) == sorted(map(str, corpus_pipeline.run(spark, path).collect()))
     assert corpus_pipeline.run(spark, sf_dir(documents=docs_of([(1, "a")]).limit(0), labels=labels.limit(0))).count() == 0
+
+
+def test_small_batches(spark, docs_of, sf_dir, tmp_path, monkeypatch):
+    """No stage hands more than about BATCH_BYTES to a Python worker at a time."""
+    r, seen = random.Random(5), tmp_path / "seen"
+    text = lambda: " ".join("".join(r.choice("etaoinsh") for _ in range(r.randrange(2, 8))) for _ in range(1000))
+    rows = [(i, text(), "en", f"s{i % 4}") for i in range(600)]
+    path = sf_dir(documents=docs_of(rows).coalesce(1), labels=spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int").coalesce(1))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+
+    def watched(run):
+        def noting(batches):
+            for x in batches:
+                (seen / f"{x.nbytes} {x.num_rows}").touch()
+                yield x
+
+        return lean(lambda batches: run(noting(batches)))
+
+    for module in (toxicity, langid, simhash, similar, byte_bpe):
+        monkeypatch.setattr(module, "lean", watched)
+    seen.mkdir()
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "mix":
+            continue  # without Python workers
+        spark.conf.unset(BATCH_SETTING)
+        stage(spark, docs, path).write.mode("overwrite").parquet(f"{tmp_path}/out")
+        sizes = [int(x.name.split()[0]) for x in seen.iterdir()]
+        assert 0.9 * BATCH_BYTES < max(sizes) < 1.1 * BATCH_BYTES, name
+        for x in seen.iterdir():
+            x.unlink()
+    spark.conf.set(BATCH_SETTING, "64k")
+    small_batches(spark)
+    assert spark.conf.get(BATCH_SETTING) == "64k"
+    spark.conf.unset(BATCH_SETTING)
